@@ -1,0 +1,15 @@
+"""Cutting lineage in the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``checkpoint()`` into spark.checkpoint.dir; a folder of our own only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orbspan-"))
+    return df.checkpoint()
