@@ -128,3 +128,14 @@ def p7_found(spark, sf_dir):
 @query(f"{_SETS}, {_OVER} SELECT batch_a, batch_b, common FROM done WHERE common * 20 >= least_size")
 def p7_sizes(spark, sf_dir):
     return _batch_overlaps(spark, sf_dir, 0.05).select(F.col("set_a").alias("batch_a"), F.col("set_b").alias("batch_b"), "common")
+
+
+#: Folder of the public vocabularies.
+VOCABULARIES = "/opt/tokenizers"
+
+
+@query()
+def p8_ids(spark, sf_dir):
+    from .bpe import encode_texts
+
+    return encode_texts(read(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.json")
