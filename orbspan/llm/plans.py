@@ -139,3 +139,10 @@ def p8_ids(spark, sf_dir):
     from .bpe import encode_texts
 
     return encode_texts(read(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.json")
+
+
+@query()
+def p9_found(spark, sf_dir):
+    from .leaks import leaks
+
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
