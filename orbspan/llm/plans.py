@@ -146,3 +146,10 @@ def p9_found(spark, sf_dir):
     from .leaks import leaks
 
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+@query()
+def p10_found(spark, sf_dir):
+    from .reading import reading_grades
+
+    return reading_grades(read(spark, sf_dir, "documents"), read(spark, sf_dir, "reading_samples"))
