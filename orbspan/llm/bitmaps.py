@@ -65,7 +65,7 @@ def estimate(sketches: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(F.bit_count("word")).alias("ones"), F.sum("n").alias("n")
     )
     groups = levels.groupBy(*keys).agg(
-        F.collect_list(F.struct("level", "ones")).alias("l"),
+        F.sort_array(F.collect_list(F.struct("level", "ones"))).alias("l"),
         F.sum("n").alias("n"),
         F.max(F.when(F.col("ones") > FULL * BITS, F.col("level") + 1).otherwise(0)).alias("base"),
     )
