@@ -37,6 +37,8 @@ BLOCK = 4_000_000
 REACH, SKIP = 900, 90
 #: Letters in exact spans that a passage has at least, for each of its words.
 LETTERS = 3.2
+#: Letters of a piece that is continued elsewhere on the page, and letters of the item between two such pieces.
+PIECE, NEXT = 20, 30
 _MISS, _GAP, _JUMP, _FAR = 2, 2, 8, 256
 _EDGE = 130
 
@@ -138,8 +140,34 @@ def spans(index: FmIndex, items: Items, docs: np.ndarray, frequent: int):
     return tuple(x[order] for x in (doc, item, page, offset, length))
 
 
+def _chain(p: list[int], o: list[int], n: list[int], which: list[int]) -> tuple[int, int, int, int, int]:
+    """Best chain of some spans of a page and an item: (page from, to, item from, to, letters)."""
+    score, origin = [n[b] for b in which], list(which)
+    for k, b in enumerate(which):
+        best, from_ = n[b], b
+        for j in range(k - 1, max(0, k - 60) - 1, -1):
+            a = which[j]
+            dp, do = p[b] - p[a], o[b] - o[a]
+            if dp > REACH + n[a]:
+                break
+            # only letters beyond the span before count
+            more = min(n[b], do + n[b] - n[a])
+            if do > 0 and more > 3 and do - n[a] <= SKIP and dp - do >= -25 and score[j] + more > best:
+                best, from_ = score[j] + more, origin[j]
+        score[k], origin[k] = best, from_
+    k = max(range(len(which)), key=score.__getitem__)
+    a, b = origin[k], which[k]
+    return p[a], p[b] + n[b], o[a], o[b] + n[b], min(score[k], o[b] + n[b] - o[a])
+
+
 def chains(doc, item, page, offset, length):
-    """Best chain of each page and item that has enough in common: (doc, item, page from, to, item from, to, letters)."""
+    """(doc, item, stretches) of each page and item that may have enough in common.
+
+    The first stretch is the best chain.  A passage that goes on in the next column
+    of a page that was read line by line across its columns continues anywhere on
+    the page, also further up; so the best chains of what comes before and after
+    in the item follow, where they are close to the first there.
+    """
     out = []
     if not len(doc):
         return out
@@ -151,23 +179,17 @@ def chains(doc, item, page, offset, length):
     keep = (total >= 17) & (extent >= 38)
     p, o, n = page.tolist(), offset.tolist(), length.tolist()
     for lo, hi in zip(start[keep].tolist(), stop[keep].tolist()):
-        score = n[lo:hi]
-        origin = list(range(lo, hi))
-        for b in range(lo, hi):
-            best, from_ = 0, b
-            for a in range(b - 1, max(lo, b - 60) - 1, -1):
-                dp, do = p[b] - p[a], o[b] - o[a]
-                if dp > REACH + n[a]:
-                    break
-                if do > 0 and do - n[a] <= SKIP and dp - do >= -25 and score[a - lo] > best:
-                    best, from_ = score[a - lo], origin[a - lo]
-            # what overlaps on the item counts once
-            score[b - lo] += best
-            origin[b - lo] = from_
-        b = max(range(lo, hi), key=lambda k: score[k - lo])
-        a = origin[b - lo]
-        if o[b] + n[b] - o[a] >= 38:
-            out.append((int(doc[a]), int(item[a]), p[a], p[b] + n[b], o[a], o[b] + n[b], min(score[b - lo], o[b] + n[b] - o[a])))
+        first = _chain(p, o, n, list(range(lo, hi)))
+        found = [first]
+        if first[4] >= PIECE:
+            _, _, o0, o1, _ = first
+            for rest in ([k for k in range(lo, hi) if o[k] + n[k] <= o0 + 6], [k for k in range(lo, hi) if o[k] >= o1 - 6]):
+                if rest:
+                    more = _chain(p, o, n, rest)
+                    if more[4] >= PIECE and max(o0 - more[3], more[2] - o1) <= NEXT:
+                        found.append(more)
+        if len(found) > 1 or first[3] - first[2] >= 38:
+            out.append((int(doc[lo]), int(item[lo]), found))
     return out
 
 
@@ -239,30 +261,65 @@ def enough(score: int, length: int) -> bool:
 
 
 def verify(found, items: Items, letters: np.ndarray, docs: np.ndarray, ends: np.ndarray, words: int, block: int = 1 << 16):
-    """Chains with at least ``words`` aligned words: (doc, item, page from, page to, words)."""
-    sure, open_ = [], []
-    for doc, item, p0, p1, o0, o1, n in found:
+    """Pairs with at least ``words`` aligned words: (doc, item, words)."""
+
+    def count(item: int, parts) -> int:
         first, last = items.words[item]
-        many = int((np.minimum(o1, last) - np.maximum(o0, first) >= 0.6 * (last - first)).sum())
-        if many >= words + 6 and n >= 0.5 * (o1 - o0):
-            sure.append((doc, item, p0, p1, many))
+        inside = sum(np.maximum(0, np.minimum(b, last) - np.maximum(a, first)) for a, b in parts)
+        return int((inside >= 0.6 * (last - first)).sum())
+
+    def job(doc, item, stretch, others=()):
+        """Page and item letters around a stretch; in the item not beyond where another one begins."""
+        p0, p1, o0, o1, _ = stretch
+        low = max([0, o0 - _EDGE, *(x[3] for x in others if x[3] <= o0 + 6)])
+        high = min([len(items.letters[item]), o1 + _EDGE, *(x[2] for x in others if x[2] >= o1 - 6)])
+        return (doc, item, max(docs[doc], p0 - 400), min(ends[doc], p1 + 400), min(low, o0), max(high, o1))
+
+    sure, open_, pieces, enough_alone = [], [], [], []
+    for doc, item, (best, *more) in found:
+        p0, p1, o0, o1, n = best
+        many = count(item, [(o0, o1)])
+        if many >= words + 6 and n >= 0.75 * (o1 - o0) or o1 - o0 + 2 * _EDGE >= 4000:
+            if many >= words:
+                sure.append((doc, item, many))
+            continue
+        whole = count(item, [(x[2], x[3]) for x in (best, *more)])
+        if more and n + max(x[4] for x in more) >= LETTERS * words and 2 * whole + 6 >= words:
+            enough_alone.append(n >= LETTERS * words)
+            pieces.append([job(doc, item, x, [y for y in (best, *more) if y is not x]) for x in (best, *more)])
         elif 2 * many + 6 >= words and n >= LETTERS * words:
-            a, b = max(0, o0 - _EDGE), min(len(items.letters[item]), o1 + _EDGE)
-            if b - a < 4000:
-                open_.append((doc, item, max(docs[doc], p0 - 400), min(ends[doc], p1 + 400), a, b))
-            else:
-                sure += [(doc, item, p0, p1, many)] if many >= words else []
+            open_.append(job(doc, item, best))
     stretch = lambda part: ([items.letters[x[1]][x[4] : x[5]] for x in part], [letters[x[2] : x[3]] for x in part])
     able = []
     for part in _parts(open_, 2 * block):
         able += [x for x, s in zip(part, align(*stretch(part), where=False).tolist()) if s >= LETTERS * words]
-    for part in _parts(able, block):
+    placed = {}
+    for part in _parts(able + sorted({x for p in pieces for x in p}), block):
         for x, s, a, b in zip(part, *(r.tolist() for r in align(*stretch(part)))):
-            first, last = items.words[x[1]]
-            a, b = a + x[4], b + x[4]
-            many = int((np.minimum(b, last) - np.maximum(a, first) >= 0.6 * (last - first)).sum())
-            if many >= words and enough(s, b - a):
-                sure.append((x[0], x[1], x[2], x[3], many))
+            placed[x] = (s, a + x[4], b + x[4])
+    for x in able:
+        s, a, b = placed[x]
+        many = count(x[1], [(a, b)])
+        if many >= words and enough(s, b - a):
+            sure.append((x[0], x[1], many))
+    for alone, part in zip(enough_alone, pieces):
+        s, a, b = placed[part[0]]
+        many = count(part[0][1], [(a, b)])
+        if alone and many >= words and enough(s, b - a):
+            sure.append((part[0][0], part[0][1], many))
+            continue
+        good = [(a, b) for s, a, b in (placed[x] for x in part) if s >= PIECE and s >= 0.58 * (b - a)]
+        good.sort()
+        joined = [list(good[0])] if good else []
+        for a, b in good[1:]:
+            if a - joined[-1][1] <= NEXT:
+                joined[-1] = [joined[-1][0], max(b, joined[-1][1])]
+            else:
+                joined.append([a, b])
+        # pieces may meet by chance, so together they have to reach further
+        many = max((count(part[0][1], [x for x in good if j[0] <= x[0] < j[1]]) for j in joined), default=0)
+        if many >= words + SLACK:
+            sure.append((part[0][0], part[0][1], many))
     return sure
 
 
@@ -275,11 +332,11 @@ def search_shard(texts: list[str | None], blocks: list[Items], words: int):
     if len(letters) <= HALF:
         return
     index = FmIndex(letters)
-    frequent = max(4, len(letters) >> 17)
+    frequent = max(24, len(letters) >> 17)
     for items in blocks:
         found = chains(*spans(index, items, docs, frequent))
         best: dict[tuple[int, int], int] = {}
-        for doc, item, _, _, many in verify(found, items, letters, docs, docs + sizes - 1, words):
+        for doc, item, many in verify(found, items, letters, docs, docs + sizes - 1, words):
             at = (doc, int(items.ids[item]))
             best[at] = max(best.get(at, 0), many)
         for (doc, item), many in best.items():

@@ -74,8 +74,12 @@ def corpus(seed=3):
             body[30:30] = part[at : at + 12] + ["TRY", "OUR", "SOAP.", "9d.", "per", "tin", "of", "all", "grocers"] + part[at + 12 : at + 16] + ["zebra"] + part[at + 17 : at + 25]
             text = "\n".join(lines(body))
             truth.add((d, item))
+        elif kind == 4:  # from the foot of the left column to the head of the right one, read line by line
+            left, right = lines(prose(rng, 66) + part[at : at + 12]), lines(part[at + 12 : at + 24] + prose(rng, 66))
+            text = "\n".join(x for pair in zip(left, right) for x in pair)
+            truth.add((d, item))
         elif kind == 3:  # too little
-            body[30:30] = part[at : at + 8]
+            body[30:30] = part[at : at + 6]
             text = "\n".join(lines(body))
         else:
             text = "\n".join(lines(damage(rng, body)))
