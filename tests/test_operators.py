@@ -10,7 +10,7 @@ from orbspan import sql
 from orbspan.kernels import grid
 from orbspan.operators.near import near_places, places, points_in_footprints
 from orbspan.sources import coverage_from_arrays, explode_batches, footprints_from_arrays, load_footprints
-from orbspan.streaming import cover_stream
+from orbspan.streaming import cover_stream, late_counts
 
 from test_kernels import QUAD, xyz
 
@@ -149,6 +149,15 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows(spark.table("covered")) == rows(op.cover_footprint(f, 3, mode="permissive"))
 
 
+def test_late_rows(spark, tmp_path):
+    d = spark.sql("select cast(h as timestamp) as t, cell as cell_id from values ('2021-03-01 00:10:00', 16L), ('2021-03-01 00:20:00', 16L), ('2021-03-01 01:10:00', 17L) v(h, cell)")
+    d.write.parquet(str(tmp_path / "in"))
+    q = late_counts(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")), "t", "1 hour", "2 hours").writeStream.format("memory").queryName("late")
+    q = q.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    q.awaitTermination()
+    assert sorted((r["cell_id"], r["n"]) for r in spark.table("late").collect()) == [(16, 2), (17, 1)]
+
+
 def test_batches(spark):
     schema = "batch_id bigint, footprint_ids array<bigint>, offsets array<bigint>, cell_ids array<bigint>, footprint_id int"
     good = (1, [5, 6, 7], [0, 2, 2, 3], [16, 17, 18], 0)
