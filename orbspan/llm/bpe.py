@@ -4,15 +4,14 @@ Texts are cut by the vocabulary's pattern; the different pieces of a batch that
 were not seen before are encoded together as padded matrices, one for each range
 of lengths.  In each round every row merges its leftmost pair of least rank, found
 in a hash table of pairs, and rows without a pair leave the matrix.  Pieces longer
-than LONGEST bytes (text without any break) merge all leftmost pairs of the least
-rank at once, which gives the same ids because a merge makes no pair of a rank
-below its own.
+than LONGEST bytes (text without any break) do the same merges from a heap.
 
 Null and empty texts give an empty list.  Marker strings are ordinary text.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -128,20 +127,34 @@ class Encoder:
                 rows, rank = rows[:, :used], rank[:, : used - 1]
 
     def _long(self, ids: np.ndarray) -> np.ndarray:
-        while len(ids) > 1:
-            rank = self.table.ranks(ids[:-1], ids[1:])
-            best = rank.min()
-            if best == _NONE:
-                break
-            at = np.flatnonzero(rank == best)
-            # of pairs that overlap (a run of one id) every other one merges, from the left
-            run = np.r_[True, np.diff(at) > 1]
-            nth = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-            at = at[nth % 2 == 0]
-            ids = ids.copy()
-            ids[at] = self.table.merged[best]
-            ids = np.delete(ids, at + 1)
-        return ids
+        """The same merges for one long piece, from a heap of pairs, in n log n."""
+        n = len(ids)
+        value, after, before = ids.tolist(), [*range(1, n), -1], [-1, *range(n - 1)]
+        merged, table = self.table.merged, {}
+
+        def rank(a: int, b: int) -> int:
+            if (a, b) not in table:
+                table[a, b] = int(self.table.ranks(np.array([a]), np.array([b]))[0])
+            return table[a, b]
+
+        first = self.table.ranks(ids[:-1], ids[1:])
+        heap = [(int(first[k]), k, value[k], value[k + 1]) for k in np.flatnonzero(first != _NONE).tolist()]
+        heapq.heapify(heap)
+        while heap:
+            best, k, a, b = heapq.heappop(heap)
+            right = after[k]
+            if value[k] != a or right < 0 or value[right] != b:
+                continue
+            value[k], value[right] = int(merged[best]), -1
+            after[k] = after[right]
+            if after[right] >= 0:
+                before[after[right]] = k
+            for left, to in ((before[k], k), (k, after[k])):
+                if left >= 0 and to >= 0:
+                    r = rank(value[left], value[to])
+                    if r != _NONE:
+                        heapq.heappush(heap, (r, left, value[left], value[to]))
+        return np.array([v for v in value if v >= 0], dtype=np.int32)
 
     def _learn(self, pieces: list[str]) -> None:
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]

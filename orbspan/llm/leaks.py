@@ -14,7 +14,7 @@ aligned stretch are counted.
 A page and an item are reported from ``words`` words on, less SLACK for words
 that are damaged beyond recognition at the ends.  Null and empty texts match
 nothing; items with fewer words match nothing; rows of an item count as one item
-with several contexts.  Repeated page rows are reported once each.
+with several contexts, rows of a page count as one page.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .fmindex import DEPTH, HALF, FmIndex
 
@@ -33,6 +34,8 @@ SLACK = 2
 #: Letters of a shard, and letters of items that one pass takes.
 SHARD = 4_000_000
 BLOCK = 4_000_000
+#: Characters that the parts of a text longer than a shard have in common.
+OVERLAP = 40_000
 #: Longest interruption on the page and in the item, in letters.
 REACH, SKIP = 900, 90
 #: Letters in exact spans that a passage has at least, for each of its words.
@@ -344,7 +347,7 @@ def search_shard(texts: list[str | None], blocks: list[Items], words: int):
 
 
 def leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, item_id, words): items of (item_id, context) with at least ``words`` words in a row on a page.
+    """(key, item_id, words), one row per case: items of (item_id, context) with at least ``words`` words in a row on a page.
 
     The items travel with the tasks, in passes of at most BLOCK letters of context,
     so more of them take more passes over the pages, not more memory.
@@ -357,7 +360,15 @@ def leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, key: str = "doc
         rows = sorted((r[0], r[1]) for r in once.where(f"pmod(xxhash64(item_id), {passes}) = {k}").collect())
         one = _one_pass(docs, rows, words, key, text)
         out = one if out is None else out.union(one)
-    return out
+    return out.groupBy(key, "item_id").agg(F.max("words").alias("words"))
+
+
+def parts(text: str):
+    """The text, or parts of at most SHARD characters that overlap."""
+    overlap = min(OVERLAP, SHARD // 2)
+    if len(text) <= SHARD:
+        return [text]
+    return [text[at : at + SHARD] for at in range(0, len(text) - overlap, SHARD - overlap)]
 
 
 def _one_pass(docs: DataFrame, rows, words: int, key: str, text: str) -> DataFrame:
@@ -379,17 +390,14 @@ def _one_pass(docs: DataFrame, rows, words: int, key: str, text: str) -> DataFra
 
         keys, texts, size = [], [], 0
         for batch in batches:
-            column = batch.column(1).to_pylist()
-            lo = 0
-            for k, t in enumerate(column):
-                size += len(t or "") + 1
-                if size >= SHARD or k == len(column) - 1:
-                    keys.append(batch.column(0).slice(lo, k + 1 - lo))
-                    texts += column[lo : k + 1]
-                    lo = k + 1
-                if size >= SHARD:
-                    yield from shard(keys, texts)
-                    keys, texts, size = [], [], 0
+            for k, t in enumerate(batch.column(1).to_pylist()):
+                for part in parts(t or ""):
+                    keys.append(batch.column(0).slice(k, 1))
+                    texts.append(part)
+                    size += len(part) + 1
+                    if size >= SHARD:
+                        yield from shard(keys, texts)
+                        keys, texts, size = [], [], 0
         if texts:
             yield from shard(keys, texts)
 

@@ -145,7 +145,7 @@ def p8_ids(spark, sf_dir):
 def p9_found(spark, sf_dir):
     from .leaks import leaks
 
-    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
 @query()

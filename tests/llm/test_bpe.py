@@ -38,7 +38,7 @@ def test_merges_against_brute_force(tmp_path):
     tables = bpe.load(tiny(tmp_path))
     e = bpe.Encoder(*tables)
     rng = np.random.default_rng(1)
-    words = ["".join(rng.choice(list("aab"), n)) for n in [*range(1, 40), 255, 256, 257, 700] for _ in range(5)]
+    words = ["".join(rng.choice(list("aab"), n)) for n in [*range(1, 40), 255, 256, 257, 700, 3000] for _ in range(5)]
     ids, offsets = e.encode(words)
     for k, w in enumerate(words):
         assert ids[offsets[k] : offsets[k + 1]].tolist() == brute(w.encode(), *tables), w

@@ -97,7 +97,12 @@ def test_planted_passages_are_found(spark, monkeypatch):
         monkeypatch.setattr(leaks, "SHARD", shard)
         got = leaks.leaks(d, i)
         assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
-    assert got.where("doc_id = 1004").count() == 2
+    assert got.where("doc_id = 1004").count() == 1
+    monkeypatch.setattr(leaks, "SHARD", 20_000)
+    monkeypatch.setattr(leaks, "OVERLAP", 2_000)
+    long = spark.createDataFrame([(k, "\n".join(pages[j][1] for j in range(3 + k, 103 + k))) for k in range(3)], "doc_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in leaks.leaks(long, i).collect()}
+    assert {x for x in found if x[1] % 6 != 4} == {(k, x) for k in range(3) for x in range(12) if x % 6 in (0, 1, 2)}
     monkeypatch.setattr(leaks, "BLOCK", 2000)
     assert {(r["doc_id"], r["item_id"]) for r in leaks.leaks(d, i).collect()} == want
     assert leaks.leaks(d.limit(0), i).count() == 0 and leaks.leaks(d, i.limit(0)).count() == 0
