@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 
 from ..kernels import codec, grid, polygon, refine
 from ..kernels.kdtree import Cuts, LocalTree
+from ..lineage import cut
 from .balance import int_table
 from .cover import rings_of
 
-#: Most points that place the cuts, and most parts.
+#: Points that place the cuts, and most parts.
 SAMPLE = 65_536
 MOST_PARTS = 8_192
 _POINT = "place bigint, x double, y double, z double"
@@ -50,12 +51,13 @@ def places(df: DataFrame, cell: str) -> DataFrame:
 
 
 def fit_cuts(points: DataFrame, part: int = 8_192) -> Cuts:
-    """Cuts into parts of about ``part`` points; collects at most SAMPLE points."""
+    """Cuts into parts of about ``part`` points, from about SAMPLE points that a hash picks."""
     n = points.count()
     depth = max(0, min(math.ceil(math.log2(max(1, n) / part)), int(math.log2(MOST_PARTS))))
     if not depth:
         return Cuts(np.empty((0, 3)), 0)
-    rows = points.orderBy(F.xxhash64("place")).limit(SAMPLE).select("x", "y", "z").toPandas()
+    picked = F.pmod(F.xxhash64("place"), F.lit(1 << 30)) < math.ceil(SAMPLE / n * (1 << 30))
+    rows = points.where(picked).select("x", "y", "z").limit(2 * SAMPLE).toPandas()
     return Cuts(rows.to_numpy(dtype=np.float64), depth)
 
 
@@ -247,7 +249,7 @@ def points_in_footprints(
 def near_and_inside(targets: DataFrame, footprints: DataFrame, degrees: float, key: str = "target_id", cell: str = "cell_id") -> DataFrame:
     """(relation, left_id, right_id): ``near`` pairs of keys and ``inside`` (key, footprint)."""
     members = _members(targets, key, cell)
-    points = places(members, "place")
+    points = cut(places(members, "place"))
     cuts = fit_cuts(points)
     near = near_pairs(targets, degrees, key, cell, cuts, points)
     once = footprints.select("footprint_id", "vertices").dropDuplicates(["footprint_id"])
