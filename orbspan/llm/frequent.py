@@ -100,8 +100,12 @@ def _schema(kind) -> T.StructType:
     )
 
 
-def merge_tree(parts: DataFrame, partitions: int, counters: int) -> DataFrame:
-    """One summary from those of all partitions; each step merges FAN_IN of them."""
+def merge_tree(parts: DataFrame, counters: int) -> DataFrame:
+    """One summary from those of all partitions: FAN_IN of them, FAN_IN of these, then all that are left.
+
+    The depth is fixed, so the plan need not know how many partitions there are;
+    the last task merges one summary for each FAN_IN ** 2 partitions.
+    """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         node = key[0].as_py()
@@ -115,16 +119,16 @@ def merge_tree(parts: DataFrame, partitions: int, counters: int) -> DataFrame:
         return pa.Table.from_batches([out.batch(node, _NAMES)])
 
     schema = parts.schema
-    for _ in range(max(1, math.ceil(math.log(max(2, partitions), FAN_IN)))):
-        step = parts.withColumnRenamed("node", "part").withColumn("node", F.floor(F.col("part") / FAN_IN).cast("int"))
+    for wide in (FAN_IN, FAN_IN, None):
+        step = parts.withColumnRenamed("node", "part")
+        step = step.withColumn("node", F.floor(F.col("part") / wide).cast("int") if wide else F.lit(0))
         parts = step.groupBy("node").applyInArrow(run, schema)
     return parts.drop("node")
 
 
 def space_saving(df: DataFrame, item: str, counters: int) -> DataFrame:
     """(item, count, error): the merged summary, and its row without an item with (rows, floor)."""
-    rows = df.select(item)
-    return merge_tree(summaries(rows, item, counters), rows.rdd.getNumPartitions(), counters)
+    return merge_tree(summaries(df, item, counters), counters)
 
 
 def frequent_items(df: DataFrame, item: str, share: float, slack: int = 10, exact: bool = True) -> DataFrame:
