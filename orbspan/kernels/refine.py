@@ -10,6 +10,7 @@ polygon's outline, not its area.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -21,6 +22,19 @@ _MARGIN = 1e-12
 _FRONTIER = 1 << 17
 
 
+# Resolutions whose centers are kept in memory, 1.6 MB in all.
+_KEPT = 6
+
+
+@lru_cache(maxsize=None)
+def _all_centers(order: int) -> np.ndarray:
+    return grid.center_xyz(order, np.arange(12 << 2 * order))
+
+
+def _centers(order: int, cell: np.ndarray) -> np.ndarray:
+    return _all_centers(order)[cell] if order <= _KEPT else grid.center_xyz(order, cell)
+
+
 def inside(normals: np.ndarray, points: np.ndarray) -> np.ndarray:
     """normals (..., n, 3) not normalised, points (..., 3)."""
     return (np.einsum("...nk,...k->...n", normals, points) >= EDGE_RULE).all(-1)
@@ -39,6 +53,12 @@ def cover_ranges(rings: np.ndarray, resolution: int) -> Iterator[tuple[np.ndarra
         return
     normals = np.cross(rings, np.roll(rings, -1, axis=1))
     units = normals / np.sqrt((normals * normals).sum(-1, keepdims=True))
+    # a polygon whose vertices lie within a right angle of their mean lies in the cap around it
+    middle = rings.sum(1)
+    size = np.sqrt((middle * middle).sum(-1, keepdims=True))
+    middle = np.divide(middle, size, out=np.zeros_like(middle), where=size > 1e-9)
+    least = np.einsum("mnk,mk->mn", rings, middle).min(1)
+    spread = np.where(least > 1e-6, np.arccos(np.clip(least, -1.0, 1.0)), np.pi)
     width = max(64, _FRONTIER // max(4, rings.shape[1]))
     marker = np.int64(1 << (4 + 2 * resolution))
     stack = []
@@ -52,7 +72,10 @@ def cover_ranges(rings: np.ndarray, resolution: int) -> Iterator[tuple[np.ndarra
             half = len(who) // 2
             stack += [(order, who[:half], cell[:half]), (order, who[half:], cell[half:])]
             continue
-        points = grid.center_xyz(order, cell)
+        points = _centers(order, cell)
+        limit = np.cos(np.minimum(np.pi, spread[who] + grid.cell_radius(order) + 1e-6)) - _MARGIN
+        near = (middle[who] * points).sum(1) >= limit
+        who, cell, points = who[near], cell[near], points[near]
         if order == resolution:
             hit = inside(normals[who], points)
             if hit.any():
