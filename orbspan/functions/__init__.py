@@ -8,7 +8,9 @@ from .cells import (
     is_cell_id,
     lonlat_to_xyz,
     nested_index,
+    nside,
     parent_cell,
+    pixel_count,
     xyz_to_lonlat,
 )
 
@@ -22,6 +24,8 @@ __all__ = [
     "is_cell_id",
     "lonlat_to_xyz",
     "nested_index",
+    "nside",
     "parent_cell",
+    "pixel_count",
     "xyz_to_lonlat",
 ]

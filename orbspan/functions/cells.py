@@ -64,8 +64,7 @@ def decode_cell_id(c, strict: bool = False) -> Column:
 
 def encode_cell_id(resolution, nested, strict: bool = False) -> Column:
     r, nested = (F.lit(resolution) if isinstance(resolution, int) else _col(resolution)), _col(nested)
-    # pixels of a resolution: 12 * 4**r
-    fits = r.between(0, codec.MAX_RESOLUTION) & (nested >= 0) & (nested < F.call_function("shiftleft", _big(12), r * 2))
+    fits = r.between(0, codec.MAX_RESOLUTION) & (nested >= 0) & (nested < pixel_count(r))
     packed = F.call_function("shiftleft", _big(1), r * 2 + 4).bitwiseOR(nested)
     if not strict:
         return F.when(fits, packed)
@@ -75,6 +74,16 @@ def encode_cell_id(resolution, nested, strict: bool = False) -> Column:
     )
 
 
+def nside(resolution) -> Column:
+    """Cells along the side of a base face: 2**resolution."""
+    return F.call_function("shiftleft", _big(1), F.lit(resolution) if isinstance(resolution, int) else _col(resolution))
+
+
+def pixel_count(resolution) -> Column:
+    """Cells of a resolution: 12 * 4**resolution."""
+    return F.call_function("shiftleft", _big(12), (F.lit(resolution) if isinstance(resolution, int) else _col(resolution)) * 2)
+
+
 def parent_cell(c, resolution) -> Column:
     """The cell of a coarser resolution around a cell; null where it is finer."""
     c = _col(c)

@@ -48,13 +48,18 @@ def well_formed(offsets: str = "offsets", keys: str = "footprint_ids", cells: st
     )
 
 
-def batch_slices(batches: DataFrame) -> DataFrame:
-    """(batch_id, footprint_id, cells) of the well-formed batches, each batch_id once.
+def well_formed_batches(batches: DataFrame) -> DataFrame:
+    """(batch_id, footprint_ids, offsets, cell_ids) of the well-formed batches, each batch_id once.
 
     Copies of a batch are dropped with map-side combine; null batch ids are left out.
     """
     once = batches.where(well_formed() & F.col("batch_id").isNotNull()).select("batch_id", "footprint_ids", "offsets", "cell_ids")
-    once = once.dropDuplicates(["batch_id"])
+    return once.dropDuplicates(["batch_id"])
+
+
+def batch_slices(batches: DataFrame) -> DataFrame:
+    """(batch_id, footprint_id, cells): one row for each slice of the well-formed batches."""
+    once = well_formed_batches(batches)
     k = F.col("__k")
     cut = F.slice("cell_ids", F.get("offsets", k).cast("int") + 1, (F.get("offsets", k + 1) - F.get("offsets", k)).cast("int"))
     return once.select("batch_id", F.posexplode("footprint_ids").alias("__k", "footprint_id"), "offsets", "cell_ids").select(

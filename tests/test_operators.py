@@ -115,6 +115,7 @@ def test_columns(spark):
     assert got[0][4] is None
     back = d.where(fn.is_cell_id("c")).select("c", fn.encode_cell_id(fn.cell_resolution("c"), fn.nested_index("c"))).collect()
     assert all(a == b for a, b in back)
+    assert tuple(spark.range(1).select(fn.nside(3), fn.pixel_count(29), fn.pixel_count(F.lit(1))).first()) == (8, 12 * 4**29, 48)
     assert spark.range(48, 49).select(fn.encode_cell_id(1, "id")).first()[0] is None
     with pytest.raises(Exception, match="out of range"):
         spark.range(48, 49).select(fn.encode_cell_id(1, "id", strict=True)).collect()
