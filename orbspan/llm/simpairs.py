@@ -99,11 +99,12 @@ def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     near = radius(threshold)
     sized = sets.withColumn("n", F.size("items"))
     member = sized.select("id", "n", F.explode("items").alias("item"))
-    held = member.groupBy("item").agg(F.count("*").alias("held"))
-    order = Window.partitionBy("id").orderBy("held", "item")
-    ranked = member.join(held, "item").withColumn("rank", F.row_number().over(order))
-    # an item that one set alone has meets nothing, though it takes its place in the prefix
-    prefix = ranked.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * (threshold - 1e-9)) + 1) & (F.col("held") > 1))
+    held = member.groupBy("item").agg(F.count("*").alias("held")).where("held > 1")
+    # an item that one set alone has meets nothing; such items are the rarest, so they take the first places
+    shared = member.join(held, "item")
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("id"))
+    ranked = shared.withColumn("rank", alone + F.row_number().over(Window.partitionBy("id").orderBy("held", "item")))
+    prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * (threshold - 1e-9)) + 1)
     carried = cut(prefix.select("id", "n", "item").join(sketches(sets, "id", "items"), "id"))
     a, b = carried.alias("a"), carried.alias("b")
     fits = (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * (threshold - 1e-9))
