@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fmindex import DEPTH, HALF, FmIndex
@@ -264,7 +264,7 @@ def enough(score: int, length: int) -> bool:
 
 
 def verify(found, items: Items, letters: np.ndarray, docs: np.ndarray, ends: np.ndarray, words: int, block: int = 1 << 16):
-    """Pairs with at least ``words`` aligned words: (doc, item, words)."""
+    """Pairs with at least ``words`` aligned words: (doc, item, words, [(page from, to)])."""
 
     def count(item: int, parts) -> int:
         first, last = items.words[item]
@@ -276,7 +276,7 @@ def verify(found, items: Items, letters: np.ndarray, docs: np.ndarray, ends: np.
         p0, p1, o0, o1, _ = stretch
         low = max([0, o0 - _EDGE, *(x[3] for x in others if x[3] <= o0 + 6)])
         high = min([len(items.letters[item]), o1 + _EDGE, *(x[2] for x in others if x[2] >= o1 - 6)])
-        return (doc, item, max(docs[doc], p0 - 400), min(ends[doc], p1 + 400), min(low, o0), max(high, o1))
+        return (doc, item, max(docs[doc], p0 - 400), min(ends[doc], p1 + 400), min(low, o0), max(high, o1), p0, p1)
 
     sure, open_, pieces, enough_alone = [], [], [], []
     for doc, item, (best, *more) in found:
@@ -284,7 +284,7 @@ def verify(found, items: Items, letters: np.ndarray, docs: np.ndarray, ends: np.
         many = count(item, [(o0, o1)])
         if many >= words + 6 and n >= 0.75 * (o1 - o0) or o1 - o0 + 2 * _EDGE >= 4000:
             if many >= words:
-                sure.append((doc, item, many))
+                sure.append((doc, item, many, [(p0, p1)]))
             continue
         whole = count(item, [(x[2], x[3]) for x in (best, *more)])
         if more and n + max(x[4] for x in more) >= LETTERS * words and 2 * whole + 6 >= words:
@@ -304,14 +304,15 @@ def verify(found, items: Items, letters: np.ndarray, docs: np.ndarray, ends: np.
         s, a, b = placed[x]
         many = count(x[1], [(a, b)])
         if many >= words and enough(s, b - a):
-            sure.append((x[0], x[1], many))
+            sure.append((x[0], x[1], many, [x[6:]]))
     for alone, part in zip(enough_alone, pieces):
         s, a, b = placed[part[0]]
         many = count(part[0][1], [(a, b)])
         if alone and many >= words and enough(s, b - a):
-            sure.append((part[0][0], part[0][1], many))
+            sure.append((part[0][0], part[0][1], many, [part[0][6:]]))
             continue
-        good = [(a, b) for s, a, b in (placed[x] for x in part) if s >= PIECE and s >= 0.58 * (b - a)]
+        solid = [x for x in part if placed[x][0] >= PIECE and placed[x][0] >= 0.58 * (placed[x][2] - placed[x][1])]
+        good = [placed[x][1:] for x in solid]
         good.sort()
         joined = [list(good[0])] if good else []
         for a, b in good[1:]:
@@ -322,12 +323,20 @@ def verify(found, items: Items, letters: np.ndarray, docs: np.ndarray, ends: np.
         # pieces may meet by chance, so together they have to reach further
         many = max((count(part[0][1], [x for x in good if j[0] <= x[0] < j[1]]) for j in joined), default=0)
         if many >= words + SLACK:
-            sure.append((part[0][0], part[0][1], many))
+            sure.append((part[0][0], part[0][1], many, [x[6:] for x in solid]))
     return sure
 
 
+def letter_places(text: str) -> np.ndarray:
+    """Position in the text of each folded letter."""
+    if text.isascii():
+        return np.flatnonzero(np.frombuffer(text.encode().translate(_TABLE), np.uint8))
+    counts = {c: len(fold(c)) for c in set(text)}
+    return np.repeat(np.arange(len(text)), [counts[c] for c in text])
+
+
 def search_shard(texts: list[str | None], blocks: list[Items], words: int):
-    """(text number, item id, words) of one shard."""
+    """(text number, item id, words, [{start, stop}]) of one shard; start and stop are characters of the text."""
     folded = [fold(t) if t else b"" for t in texts]
     sizes = np.array([len(f) + 1 for f in folded], dtype=np.int64)
     docs = np.cumsum(sizes) - sizes
@@ -339,17 +348,25 @@ def search_shard(texts: list[str | None], blocks: list[Items], words: int):
     for items in blocks:
         found = chains(*spans(index, items, docs, frequent))
         best: dict[tuple[int, int], int] = {}
-        for doc, item, many in verify(found, items, letters, docs, docs + sizes - 1, words):
+        placed: dict[tuple[int, int], list] = {}
+        for doc, item, many, stretches in verify(found, items, letters, docs, docs + sizes - 1, words):
             at = (doc, int(items.ids[item]))
             best[at] = max(best.get(at, 0), many)
+            placed.setdefault(at, []).extend(stretches)
+        where: dict[int, np.ndarray] = {}
         for (doc, item), many in best.items():
-            yield doc, item, many
+            if doc not in where:
+                where[doc] = letter_places(texts[doc])
+            place, base = where[doc], int(docs[doc])
+            cut = [{"start": int(place[a - base]), "stop": int(place[b - base - 1]) + 1} for a, b in sorted(placed[doc, item])]
+            yield doc, item, many, cut
 
 
 def leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, item_id, words), one row per case: items of (item_id, context) with at least ``words`` words in a row on a page.
+    """(key, item_id, words, spans), one row per case: items of (item_id, context) with at least ``words`` words in a row on a page.
 
-    The items travel with the tasks, in passes of at most BLOCK letters of context,
+    ``spans`` are the stretches of the page that hold the passage, [{start, stop}] in
+    characters.  The items travel with the tasks, in passes of at most BLOCK letters of context,
     so more of them take more passes over the pages, not more memory.
     """
     size = items.selectExpr("sum(length(context))").first()[0] or 0
@@ -360,15 +377,30 @@ def leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, key: str = "doc
         rows = sorted((r[0], r[1]) for r in once.where(f"pmod(xxhash64(item_id), {passes}) = {k}").collect())
         one = _one_pass(docs, rows, words, key, text)
         out = one if out is None else out.union(one)
-    return out.groupBy(key, "item_id").agg(F.max("words").alias("words"))
+    return out.groupBy(key, "item_id").agg(
+        F.max("words").alias("words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")
+    )
+
+
+def removal_spans(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, start, stop): the spans of all items on a page, those that overlap or touch merged."""
+    s = found.select(F.col(key), F.explode("spans").alias("s")).select(key, "s.start", "s.stop")
+    order = Window.partitionBy(key).orderBy("start", "stop")
+    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    s = s.withColumn("__new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int"))
+    s = s.withColumn("__n", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return s.groupBy(key, "__n").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("__n")
 
 
 def parts(text: str):
-    """The text, or parts of at most SHARD characters that overlap."""
+    """(start, text) of the whole text, or of parts of at most SHARD characters that overlap."""
     overlap = min(OVERLAP, SHARD // 2)
     if len(text) <= SHARD:
-        return [text]
-    return [text[at : at + SHARD] for at in range(0, len(text) - overlap, SHARD - overlap)]
+        return [(0, text)]
+    return [(at, text[at : at + SHARD]) for at in range(0, len(text) - overlap, SHARD - overlap)]
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
 def _one_pass(docs: DataFrame, rows, words: int, key: str, text: str) -> DataFrame:
@@ -380,26 +412,29 @@ def _one_pass(docs: DataFrame, rows, words: int, key: str, text: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [Items(rows)]
 
-        def shard(keys, texts):
+        def shard(keys, texts, starts):
             found = list(search_shard(texts, blocks, need))
             if found:
-                doc, item, many = zip(*found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays(keys).take(pa.array(doc)), pa.array(item, pa.int64()), pa.array(many, pa.int64())], [key, "item_id", "words"]
-                )
+                doc, item, many, cut = zip(*found)
+                cut = [[{k: v + starts[d] for k, v in one.items()} for one in c] for d, c in zip(doc, cut)]
+                columns = [pa.concat_arrays(keys).take(pa.array(doc)), pa.array(item, pa.int64()), pa.array(many, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(cut, _SPANS)], [key, "item_id", "words", "spans"])
 
-        keys, texts, size = [], [], 0
+        keys, texts, starts, size = [], [], [], 0
         for batch in batches:
             for k, t in enumerate(batch.column(1).to_pylist()):
-                for part in parts(t or ""):
+                for start, part in parts(t or ""):
                     keys.append(batch.column(0).slice(k, 1))
                     texts.append(part)
+                    starts.append(start)
                     size += len(part) + 1
                     if size >= SHARD:
-                        yield from shard(keys, texts)
-                        keys, texts, size = [], [], 0
+                        yield from shard(keys, texts, starts)
+                        keys, texts, starts, size = [], [], [], 0
         if texts:
-            yield from shard(keys, texts)
+            yield from shard(keys, texts, starts)
 
-    schema = T.StructType([kind, T.StructField("item_id", T.LongType()), T.StructField("words", T.LongType())])
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
+    more = [T.StructField("item_id", T.LongType()), T.StructField("words", T.LongType()), T.StructField("spans", T.ArrayType(span))]
+    schema = T.StructType([kind, *more])
     return docs.where(f"`{text}` is not null").select(key, text).mapInArrow(run, schema)

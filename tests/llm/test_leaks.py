@@ -108,6 +108,22 @@ def test_planted_passages_are_found(spark, monkeypatch):
     assert leaks.leaks(d.limit(0), i).count() == 0 and leaks.leaks(d, i.limit(0)).count() == 0
 
 
+def test_spans_hold_the_passage_and_merge(spark):
+    items, pages, truth = corpus()
+    d = spark.createDataFrame([(k, "ſé — " + t) for k, t in pages], "doc_id bigint, text string")
+    found = leaks.leaks(d, spark.createDataFrame(items, "item_id bigint, context string"))
+    texts = dict(pages)
+    for r in found.collect():
+        assert r["spans"] and (r["doc_id"], r["item_id"]) in truth
+        item = leaks.fold(dict(items)[r["item_id"]])
+        for s in r["spans"]:
+            held = leaks.fold(("ſé — " + texts[r["doc_id"]])[s["start"] : s["stop"]])
+            assert held[:12] in item and held[-12:] in item
+    rows = [(1, [(0, 5), (3, 9)]), (1, [(20, 30), (9, 10)]), (2, [(4, 6)])]
+    d = spark.createDataFrame(rows, "doc_id bigint, spans array<struct<start:bigint,stop:bigint>>")
+    assert sorted(map(tuple, leaks.removal_spans(d).collect())) == [(1, 0, 10), (1, 20, 30), (2, 4, 6)]
+
+
 def test_many_copies_of_a_page_are_all_reported(spark):
     items, pages, _ = corpus()
     d = spark.createDataFrame([(k, pages[0][1]) for k in range(700)], "doc_id bigint, text string").coalesce(1)
