@@ -18,16 +18,18 @@ from ..lineage import cut
 LONG = 64
 
 
-def overlaps(members: DataFrame, share: float) -> DataFrame:
+def overlaps(members: DataFrame, share: float, unique: bool = False) -> DataFrame:
     """(set_a, set_b, common, size_a, size_b), a < b, where common >= share * the smaller size.
 
     ``members`` has (set_id, item); repeated rows count once, rows with a null
     count nowhere, sets without items are in no pair.  ``share`` is above 0.
+    ``unique`` tells that no row is repeated, which saves a shuffle.
     """
     if not share > 0:
         raise ValueError("share must be above 0.")
     spark = members.sparkSession
-    m = members.selectExpr("set_id", "item").where("set_id is not null and item is not null").distinct()
+    m = members.selectExpr("set_id", "item").where("set_id is not null and item is not null")
+    m = m if unique else m.distinct()
     sizes = spark.sql("select set_id, count(*) as size from {m} group by set_id", m=m)
     degree = spark.sql("select item, count(*) as held from {m} group by item having count(*) > 1", m=m)
     signed = cut(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import is_cell_id
 from ..plans import sqltext as S
-from ..sources.arrays import batch_slices
+from ..sources.arrays import batch_slices, well_formed_batches
 from . import frequent, overlaps, simpairs, sparse, terms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,8 +116,9 @@ done AS (SELECT a AS batch_a, b AS batch_b, CAST(o AS BIGINT) AS common, least(z
 
 
 def _batch_overlaps(spark, sf_dir, share):
-    cells = batch_slices(read(spark, sf_dir, "coverage_batches")).select(F.col("batch_id").alias("set_id"), F.explode("cells").alias("item"))
-    return overlaps.overlaps(cells.where(is_cell_id("item")), share)
+    once = well_formed_batches(read(spark, sf_dir, "coverage_batches")).where(F.size("footprint_ids") > 0)
+    cells = once.select(F.col("batch_id").alias("set_id"), F.explode(F.array_distinct("cell_ids")).alias("item"))
+    return overlaps.overlaps(cells.where(is_cell_id("item")), share, unique=True)
 
 
 @query(f"{_SETS}, {_OVER} SELECT batch_a, batch_b FROM done WHERE common * 10 >= least_size * 3")
@@ -148,6 +149,14 @@ def p9_found(spark, sf_dir):
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+@query()
+def p9_spans(spark, sf_dir):
+    """Stretches of each page to take out, in characters."""
+    from .leaks import leaks, removal_spans
+
+    return removal_spans(leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")))
+
+
 @query()
 def p10_found(spark, sf_dir):
     from .reading import reading_grades
