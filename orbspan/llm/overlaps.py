@@ -32,16 +32,16 @@ def overlaps(members: DataFrame, share: float, unique: bool = False) -> DataFram
     m = m if unique else m.distinct()
     sizes = spark.sql("select set_id, count(*) as size from {m} group by set_id", m=m)
     degree = spark.sql("select item, count(*) as held from {m} group by item having count(*) > 1", m=m)
+    shared = cut(spark.sql("select m.set_id, m.item, d.held from {m} m join {degree} d on m.item = d.item", m=m, degree=degree))
     signed = cut(
         spark.sql(
             """
-            with short as (select m.item, sort_array(collect_list(m.set_id)) as signature
-                           from {m} m join {degree} d on m.item = d.item where d.held <= {long} group by m.item)
+            with short as (select item, sort_array(collect_list(set_id)) as signature from {shared} where held <= {long} group by item)
             select signature, count(*) as weight from short group by signature""",
-            m=m, degree=degree, long=LONG,
+            shared=shared, long=LONG,
         )
     )
-    hot = cut(spark.sql("select m.set_id, m.item from {m} m join {degree} d on m.item = d.item where d.held > {long}", m=m, degree=degree, long=LONG))
+    hot = spark.sql("select set_id, item from {shared} where held > {long}", shared=shared, long=LONG)
     sized = cut(
         spark.sql(
             """
