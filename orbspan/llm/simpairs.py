@@ -101,7 +101,7 @@ def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     member = sized.select("id", "n", F.explode("items").alias("item"))
     held = member.groupBy("item").agg(F.count("*").alias("held")).where("held > 1")
     # an item that one set alone has meets nothing; such items are the rarest, so they take the first places
-    shared = member.join(held, "item")
+    shared = cut(member.join(held, "item"))
     alone = F.col("n") - F.count("*").over(Window.partitionBy("id"))
     ranked = shared.withColumn("rank", alone + F.row_number().over(Window.partitionBy("id").orderBy("held", "item")))
     prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * (threshold - 1e-9)) + 1)
@@ -109,12 +109,11 @@ def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     a, b = carried.alias("a"), carried.alias("b")
     fits = (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * (threshold - 1e-9))
     met = a.join(b, (F.col("a.item") == F.col("b.item")) & fits & (hamming("a", "b") <= near))
-    pairs = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    checked = pairs.join(left, "a").join(right, "b").select(
-        "a", "b", F.size(F.array_intersect("x", "y")).alias("common"), F.size("x").alias("size_a"), F.size("y").alias("size_b")
-    )
+    pairs = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("size_a"), F.col("b.n").alias("size_b")).distinct()
+    # what two sets have in common is among the shared items, so only these are fetched
+    lists = shared.groupBy("id").agg(F.collect_list("item").alias("x"))
+    left, right = lists.withColumnRenamed("id", "a"), lists.select(F.col("id").alias("b"), F.col("x").alias("y"))
+    checked = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), "size_a", "size_b")
     return checked.where(F.col("common") >= threshold * (F.col("size_a") + F.col("size_b") - F.col("common")) - 1e-9)
 
 
