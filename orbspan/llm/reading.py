@@ -119,6 +119,7 @@ class Model:
         self.vocabulary, self.weights, self.offset = vocabulary, weights, offset
         self.known: dict[str, int] = {}
         self.vectors = np.zeros((0, GRADES))
+        self.rows: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def __getstate__(self):
         return {"vocabulary": self.vocabulary, "weights": self.weights, "offset": self.offset}
@@ -150,7 +151,10 @@ class Model:
 
     def row(self, sentence: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Columns and values of a sentence: length, constant, mean of its words."""
-        parts = [self._columns(w) for w in sentence]
+        for w in sentence:
+            if w not in self.rows:
+                self.rows[w] = self._columns(w)
+        parts = [self.rows[w] for w in sentence]
         columns = np.concatenate([[np.searchsorted(_LENGTHS, len(sentence), "right") - 1, len(_LENGTHS)], *(p[0] for p in parts)]).astype(np.int64)
         return columns, np.concatenate([[1.0, 1.0], *(p[1] / len(sentence) ** 0.5 for p in parts)])
 
