@@ -27,19 +27,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fmindex import DEPTH, HALF, FmIndex
+from .fmindex import HALF, FmIndex
 
 WORDS = 15
 SLACK = 2
 #: Letters of a shard, and letters of items that one pass takes.
 SHARD = 4_000_000
 BLOCK = 4_000_000
+#: Phrases of items that are placed on pages at a time.
+HITS = 1_000_000
 #: Characters that the parts of a text longer than a shard have in common.
 OVERLAP = 40_000
 #: Longest interruption on the page and in the item, in letters.
 REACH, SKIP = 900, 90
-#: Letters in exact spans that a passage has at least, for each of its words.
+#: Score of a passage, for each of its words, that is enough for a closer look.
 LETTERS = 3.2
+#: The same as a share of the letters, where words are short.
+SHARE = 0.65
 #: Letters of a piece that is continued elsewhere on the page, and letters of the item between two such pieces.
 PIECE, NEXT = 20, 30
 _MISS, _GAP, _JUMP, _FAR = 2, 2, 8, 256
@@ -90,7 +94,13 @@ class Items:
         self.phrases = flat[at[first][:, None] + np.arange(HALF)] if len(at) else np.empty((0, HALF), np.uint8)
         self.by_kind = np.argsort(self.kind, kind="stable")
         self.kind_start = np.searchsorted(self.kind[self.by_kind], np.arange(len(self.phrases) + 1))
-        self.flat = flat
+        self.flat, self.sizes = flat, sizes
+
+    def least(self, words: int) -> np.ndarray:
+        """Score that a passage of ``words`` words has at least, by item: LETTERS a word, or SHARE of the item's shortest run of words."""
+        many = words + SLACK
+        run = [(e[many - 1 :] - b[: len(b) - many + 1]).min() if len(b) >= many else np.inf for b, e in self.words]
+        return np.minimum(SHARE * np.array(run, dtype=float), LETTERS * words)
 
 
 def packed_windows(flat: np.ndarray) -> np.ndarray:
@@ -99,100 +109,183 @@ def packed_windows(flat: np.ndarray) -> np.ndarray:
     return packed(flat)
 
 
-def spans(index: FmIndex, items: Items, docs: np.ndarray, frequent: int):
-    """(doc, item row, page letter, item letter, length): merged exact spans, sorted by doc, item and page letter.
+def spans(index: FmIndex, items: Items, docs: np.ndarray):
+    """(doc, item row, page letter, item letter, length): merged exact spans, sorted by doc, item and page letter, in blocks of documents.
 
-    ``docs`` has the first letter of each document in the shard.
+    ``docs`` has the first letter of each document in the shard.  A block has about HITS phrases of items, or one document.
     """
     low, high = index.search(items.phrases)
-    count = high - low
-    rare = np.flatnonzero((count > 0) & (count <= frequent))
-    which, position = index.locate(low[rare], high[rare])
-    kind = rare[which]
+    which, position = index.locate(low, high)
+    order = np.argsort(position)
+    kind, position = which[order], position[order]
     times = items.kind_start[kind + 1] - items.kind_start[kind]
+    doc = np.searchsorted(docs, position, side="right") - 1
+    ends = np.cumsum(times)
+    lo = 0
+    while lo < len(kind):
+        hi = int(np.searchsorted(ends, ends[lo] - times[lo] + HITS, side="right"))
+        hi = int(np.searchsorted(doc, doc[min(hi, len(doc) - 1)]))
+        if hi <= lo:
+            hi = int(np.searchsorted(doc, doc[lo], side="right"))
+        if ends[-1] - (ends[lo] - times[lo]) <= HITS:
+            hi = len(kind)
+        yield _merged(items, docs, kind[lo:hi], position[lo:hi], doc[lo:hi], times[lo:hi])
+        lo = hi
+
+
+def _merged(items: Items, docs: np.ndarray, kind, position, doc, times):
     place = items.by_kind[np.arange(times.sum()) + np.repeat(items.kind_start[kind] - (np.cumsum(times) - times), times)]
-    found = [(np.repeat(position, times), items.owner[place], items.offset[place], HALF)]
-    # frequent phrases: the same interval, extended to the left by HALF letters of each place in the items
-    often = np.flatnonzero((count > frequent)[items.kind] & (items.offset >= HALF))
-    if len(often):
-        at = items.starts[items.owner[often]] + items.offset[often] - HALF
-        longer = items.flat[at[:, None] + np.arange(HALF)]
-        low2, high2 = index.search(longer, low[items.kind[often]], high[items.kind[often]])
-        which, position = index.locate(low2, high2)
-        found.append((position, items.owner[often[which]], items.offset[often[which]] - HALF, DEPTH))
-    page = np.concatenate([f[0] for f in found])
-    item = np.concatenate([f[1] for f in found])
-    offset = np.concatenate([f[2] for f in found])
-    length = np.concatenate([np.full(len(f[0]), f[3]) for f in found])
-    doc = np.searchsorted(docs, page, side="right") - 1
-    order = np.lexsort((page, page - offset, item, doc))
-    doc, item, page, offset, length = (x[order] for x in (doc, item, page, offset, length))
-    if not len(doc):
-        return doc, item, page, offset, length
-    line = page - offset
-    fresh = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (line[1:] != line[:-1])]
-    end = page + length
-    # greatest end so far within a diagonal; a shift that grows with the diagonal keeps them apart
-    shift = np.cumsum(fresh) * (index.n + DEPTH + 1)
-    reach = np.maximum.accumulate(end + shift) - shift
-    cut = fresh | np.r_[True, page[1:] > reach[:-1]]
+    page, doc, item, offset = np.repeat(position, times), np.repeat(doc, times), items.owner[place], items.offset[place]
+    inside = page - docs[doc]
+    line = inside - offset
+    line -= line.min()
+    group = (doc - doc[0]) * len(items.ids) + item
+    bits = [int(x.max()).bit_length() for x in (group, line, inside)]
+    if sum(bits) < 63:
+        order = np.argsort((group << (bits[1] + bits[2])) | (line << bits[2]) | inside)
+    else:
+        order = np.lexsort((inside, line, group))
+    group, line, page, offset, doc, item = (x[order] for x in (group, line, page, offset, doc, item))
+    cut = np.r_[True, (group[1:] != group[:-1]) | (line[1:] != line[:-1]) | (page[1:] > page[:-1] + HALF)]
     start = np.flatnonzero(cut)
     last = np.r_[start[1:] - 1, len(doc) - 1]
-    doc, item, page, offset, length = doc[start], item[start], page[start], offset[start], reach[last] - page[start]
-    order = np.lexsort((page, item, doc))
+    length = page[last] + HALF - page[start]
+    doc, item, page, offset, group = (x[start] for x in (doc, item, page, offset, group))
+    order = np.lexsort((page, group))
     return tuple(x[order] for x in (doc, item, page, offset, length))
 
 
-def _chain(p: list[int], o: list[int], n: list[int], which: list[int]) -> tuple[int, int, int, int, int]:
-    """Best chain of some spans of a page and an item: (page from, to, item from, to, letters)."""
-    score, origin = [n[b] for b in which], list(which)
-    for k, b in enumerate(which):
-        best, from_ = n[b], b
-        for j in range(k - 1, max(0, k - 60) - 1, -1):
-            a = which[j]
-            dp, do = p[b] - p[a], o[b] - o[a]
-            if dp > REACH + n[a]:
-                break
-            # only letters beyond the span before count
-            more = min(n[b], do + n[b] - n[a])
-            if do > 0 and more > 3 and do - n[a] <= SKIP and dp - do >= -25 and score[j] + more > best:
-                best, from_ = score[j] + more, origin[j]
-        score[k], origin[k] = best, from_
-    k = max(range(len(which)), key=score.__getitem__)
-    a, b = origin[k], which[k]
-    return p[a], p[b] + n[b], o[a], o[b] + n[b], min(score[k], o[b] + n[b] - o[a])
-
-
-def chains(doc, item, page, offset, length):
-    """(doc, item, stretches) of each page and item that may have enough in common.
-
-    The first stretch is the best chain.  A passage that goes on in the next column
-    of a page that was read line by line across its columns continues anywhere on
-    the page, also further up; so the best chains of what comes before and after
-    in the item follow, where they are close to the first there.
+def _links(doc, item, page, offset, length):
+    """Pairs of spans (from, to) of a page and an item that may follow each other in a passage, and letters they share in the item."""
+    group = np.cumsum(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
+    longest = int(length.max())
+    out, a = [], np.arange(len(doc) - 1)
+    for lag in range(1, len(doc)):
+        a = a[a + lag < len(doc)]
+        b = a + lag
+        near = (group[a] == group[b]) & (page[b] - page[a] <= REACH + longest)
+        a, b = a[near], b[near]
+        if not len(a):
+            break
+        dp, do = page[b] - page[a], offset[b] - offset[a]
+        over = np.maximum(0, length[a] - do)
+        ok = (do > 0) & (length[b] - over > 3) & (do - length[a] <= SKIP) & (dp - do >= -25) & (dp <= REACH + length[a])
+        out.append((a[ok], b[ok], over[ok]))
+    if not out:
+        return (np.empty(0, np.int64),) * 3
+    a, b, over = (np.concatenate(x) for x in zip(*out))
+    order = np.lexsort((a, b))
+    return a[order], b[order], over[order]
+
+
+def _along(letters: np.ndarray, page: np.ndarray, flat: np.ndarray, item: np.ndarray, width: np.ndarray, step: int) -> np.ndarray:
+    """+1 or -1 for each of the next letters on a diagonal, forward or back, 0 from ``width`` on."""
+    k = np.arange(int(width.max()) if len(width) else 0)
+    same = letters[np.clip(page[:, None] + step * k, 0, len(letters) - 1)] == flat[np.clip(item[:, None] + step * k, 0, len(flat) - 1)]
+    return np.where(k < width[:, None], np.where(same, 1, -1), 0).astype(np.int16)
+
+
+def _beyond(letters, page, items: Items, item, offset, step: int) -> np.ndarray:
+    """Most that the letters before or behind a place add on its diagonal, where a wrong one costs one."""
+    room = offset + 1 if step < 0 else items.sizes[item] - offset
+    at = items.starts[item] + offset
+    out = np.zeros(len(page), np.int64)
+    for lo in range(0, len(page), 1 << 14):
+        part = slice(lo, lo + (1 << 14))
+        v = _along(letters, page[part], items.flat, at[part], np.minimum(room[part], 64), step)
+        if v.size:
+            out[part] = np.maximum(0, np.cumsum(v, 1, dtype=np.int16).max(1))
+    return out
+
+
+def _between(letters, items: Items, item, page0, offset0, page1, offset1) -> np.ndarray:
+    """What two spans gain or lose between their ends: the letters on the one diagonal up to some place, on the other from there on."""
+    gap = np.maximum(0, offset1 - offset0)
+    shift = np.abs((page1 - page0) - (offset1 - offset0))
+    out = -np.minimum(_JUMP, 2 * shift)
+    at = items.starts[item]
+    wide = np.flatnonzero(gap)
+    for lo in range(0, len(wide), 1 << 14):
+        w = wide[lo : lo + (1 << 14)]
+        a = np.cumsum(_along(letters, page0[w], items.flat, at[w] + offset0[w], gap[w], 1), 1, dtype=np.int16)
+        b = np.cumsum(_along(letters, page1[w] - 1, items.flat, at[w] + offset1[w] - 1, gap[w], -1), 1, dtype=np.int16)
+        a, b = (np.pad(x, ((0, 0), (1, 0))) for x in (a, b))
+        k = np.arange(a.shape[1])
+        rest = np.take_along_axis(b, np.maximum(0, gap[w][:, None] - k), 1)
+        out[w] += np.where(k <= gap[w][:, None], a + rest, -SKIP).max(1)
+    return out
+
+
+def chains(doc, item, page, offset, length, items: Items, letters: np.ndarray, words: int):
+    """(doc, item, stretches) of each passage that a page and an item may have in common.
+
+    All chains are followed, not only the best: stock phrases that an item shares with
+    a long page often have more exact letters than the passage.  A chain counts with
+    the letters between its spans and at its ends, compared along their diagonals.
+    The first stretch is the chain.  A passage that goes on in the next column of a
+    page that was read line by line across its columns continues anywhere on the page,
+    also further up; so the chains before and after in the item follow, where they are
+    close to the first there.
     """
     out = []
     if not len(doc):
         return out
-    group = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]
-    start = np.flatnonzero(group)
-    stop = np.r_[start[1:], len(doc)]
-    total = np.add.reduceat(length, start)
-    extent = np.maximum.reduceat(offset + length, start) - np.minimum.reduceat(offset, start)
-    keep = (total >= 17) & (extent >= 38)
+    a, b, over = _links(doc, item, page, offset, length)
+    # a span that begins within the one before counts from there on
+    value = _between(letters, items, item[a], page[a] + length[a], offset[a] + length[a], page[b] + over, offset[b] + over) - over
+    # a link that costs more than the span on one side of it brings is better left out
+    pays = value > -np.minimum(length[a], length[b]) - 8
+    a, b, value = a[pays], b[pays], value[pays]
+    once = np.union1d(np.flatnonzero(length >= 17), np.r_[a, b])
+    ahead, behind = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
+    ahead[once] = _beyond(letters, page[once] + length[once], items, item[once], offset[once] + length[once], 1)
+    behind[once] = _beyond(letters, page[once] - 1, items, item[once], offset[once] - 1, -1)
     p, o, n = page.tolist(), offset.tolist(), length.tolist()
-    for lo, hi in zip(start[keep].tolist(), stop[keep].tolist()):
-        first = _chain(p, o, n, list(range(lo, hi)))
-        found = [first]
-        if first[4] >= PIECE:
-            _, _, o0, o1, _ = first
-            for rest in ([k for k in range(lo, hi) if o[k] + n[k] <= o0 + 6], [k for k in range(lo, hi) if o[k] >= o1 - 6]):
-                if rest:
-                    more = _chain(p, o, n, rest)
-                    if more[4] >= PIECE and max(o0 - more[3], more[2] - o1) <= NEXT:
-                        found.append(more)
-        if len(found) > 1 or first[3] - first[2] >= 38:
-            out.append((int(doc[lo]), int(item[lo]), found))
+    # for each span the best that leads to it and the best that follows
+    score, gain = (behind + length).tolist(), ahead.tolist()
+    before, after = [-1] * len(p), [-1] * len(p)
+    links = list(zip(a.tolist(), b.tolist(), value.tolist()))
+    for x, y, v in links:
+        if score[x] + v + n[y] > score[y]:
+            score[y], before[y] = score[x] + v + n[y], x
+    for x, y, v in reversed(links):
+        if v + n[y] + gain[y] > gain[x]:
+            gain[x], after[x] = v + n[y] + gain[y], y
+    least = items.least(words)
+    whole = np.array(score) + np.array(gain)
+    may = np.flatnonzero((whole >= np.minimum(PIECE, 0.8 * least[item])) & np.isin(np.arange(len(p)), once))
+    used = set()
+    by_group: dict[tuple[int, int], list] = {}
+    for k in may[np.argsort(-whole[may], kind="stable")].tolist():
+        if k in used:
+            continue
+        chain, x = [k], before[k]
+        while x >= 0:
+            chain.append(x)
+            x = before[x]
+        chain.reverse()
+        x = after[k]
+        while x >= 0:
+            chain.append(x)
+            x = after[x]
+        used.update(chain)
+        c, d = chain[0], chain[-1]
+        exact = n[c] + sum(min(n[j], o[j] + n[j] - o[i] - n[i]) for i, j in zip(chain, chain[1:]))
+        stretch = (p[c], p[d] + n[d], o[c], o[d] + n[d], min(exact, o[d] + n[d] - o[c]), int(whole[k]))
+        by_group.setdefault((int(doc[k]), int(item[k])), []).append(stretch)
+    solid = lambda x: x[4] >= PIECE and x[5] >= max(PIECE, 0.46 * (x[3] - x[2]))
+    for (page_, row), found in by_group.items():
+        enough_ = 0.8 * least[row]
+        seen = set()
+        for x in found:
+            o0, o1 = x[2], x[3]
+            more = [y for y in found if y is not x and solid(y) and (y[3] <= o0 + 6 and o0 - y[3] <= NEXT or y[2] >= o1 - 6 and y[2] - o1 <= NEXT)] if solid(x) else []
+            if x[5] < enough_ and (not more or any(x[k] + max(y[k] for y in more) < least[row] for k in (4, 5))):
+                continue
+            same = frozenset((x, *more))
+            if x[5] >= enough_ or same not in seen:
+                out.append((page_, row, [x, *more]))
+            seen.add(same)
     return out
 
 
@@ -273,29 +366,30 @@ def verify(found, items: Items, letters: np.ndarray, docs: np.ndarray, ends: np.
 
     def job(doc, item, stretch, others=()):
         """Page and item letters around a stretch; in the item not beyond where another one begins."""
-        p0, p1, o0, o1, _ = stretch
+        p0, p1, o0, o1, *_ = stretch
         low = max([0, o0 - _EDGE, *(x[3] for x in others if x[3] <= o0 + 6)])
         high = min([len(items.letters[item]), o1 + _EDGE, *(x[2] for x in others if x[2] >= o1 - 6)])
         return (doc, item, max(docs[doc], p0 - 400), min(ends[doc], p1 + 400), min(low, o0), max(high, o1), p0, p1)
 
     sure, open_, pieces, enough_alone = [], [], [], []
+    least = items.least(words)
     for doc, item, (best, *more) in found:
-        p0, p1, o0, o1, n = best
+        p0, p1, o0, o1, n, value = best
         many = count(item, [(o0, o1)])
         if many >= words + 6 and n >= 0.75 * (o1 - o0) or o1 - o0 + 2 * _EDGE >= 4000:
             if many >= words:
                 sure.append((doc, item, many, [(p0, p1)]))
             continue
         whole = count(item, [(x[2], x[3]) for x in (best, *more)])
-        if more and n + max(x[4] for x in more) >= LETTERS * words and 2 * whole + 6 >= words:
-            enough_alone.append(n >= LETTERS * words)
+        if more and 2 * whole + 6 >= words:
+            enough_alone.append(value >= 0.8 * least[item])
             pieces.append([job(doc, item, x, [y for y in (best, *more) if y is not x]) for x in (best, *more)])
-        elif 2 * many + 6 >= words and n >= LETTERS * words:
+        elif 2 * many + 6 >= words and value >= 0.8 * least[item]:
             open_.append(job(doc, item, best))
     stretch = lambda part: ([items.letters[x[1]][x[4] : x[5]] for x in part], [letters[x[2] : x[3]] for x in part])
     able = []
     for part in _parts(open_, 2 * block):
-        able += [x for x, s in zip(part, align(*stretch(part), where=False).tolist()) if s >= LETTERS * words]
+        able += [x for x, s in zip(part, align(*stretch(part), where=False).tolist()) if s >= least[x[1]]]
     placed = {}
     for part in _parts(able + sorted({x for p in pieces for x in p}), block):
         for x, s, a, b in zip(part, *(r.tolist() for r in align(*stretch(part)))):
@@ -344,9 +438,8 @@ def search_shard(texts: list[str | None], blocks: list[Items], words: int):
     if len(letters) <= HALF:
         return
     index = FmIndex(letters)
-    frequent = max(24, len(letters) >> 17)
     for items in blocks:
-        found = chains(*spans(index, items, docs, frequent))
+        found = [x for block in spans(index, items, docs) for x in chains(*block, items, letters, words)]
         best: dict[tuple[int, int], int] = {}
         placed: dict[tuple[int, int], list] = {}
         for doc, item, many, stretches in verify(found, items, letters, docs, docs + sizes - 1, words):

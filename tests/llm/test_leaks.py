@@ -152,3 +152,27 @@ def test_alignment_against_plain_programme():
         pairs.append((a, b))
     want = [plain(a.tolist(), b.tolist()) for a, b in pairs]
     assert leaks.align(*map(list, zip(*pairs)))[0].tolist() == want == leaks.align(*map(list, zip(*pairs)), where=False).tolist()
+
+
+def search(items, pages):
+    return {(d, i): cut for d, i, _, cut in leaks.search_shard(pages, [leaks.Items(items)], leaks.WORDS - leaks.SLACK)}
+
+
+def test_passage_beside_stock_phrases_with_more_letters():
+    rng = random.Random(11)
+    item = prose(rng, 150)
+    body = prose(rng, 1500)
+    for k in range(6):  # each a chance phrase of the item, in its order, with other words between
+        body[20 + 8 * k : 20 + 8 * k] = item[8 * k : 8 * k + 3]
+    body[1200:1200] = item[120:136]
+    assert (0, 5) in search([(5, " ".join(item))], [" ".join(body)])
+
+
+def test_damaged_passage_of_frequent_phrases():
+    rng = random.Random(12)
+    item = prose(rng, 40)
+    # a wrong letter after every 15: no 24 letters in a row are right
+    letters = list("".join(item[10:26]))
+    letters[15::16] = "x" * len(letters[15::16])
+    pages = [" ".join(item)] * 60 + [" ".join(prose(rng, 80)) + " " + "".join(letters) + " " + " ".join(prose(rng, 80))]
+    assert (60, 3) in search([(3, " ".join(item))], pages)
