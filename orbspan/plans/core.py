@@ -114,6 +114,33 @@ def cover_counts_native(spark, sf_dir):
     return cover.cover_counts(read(spark, sf_dir, "footprints"), "resolution", mode="permissive")
 
 
+@query()
+def cover_footprints_native(spark, sf_dir):
+    return cover.cover_footprint(read(spark, sf_dir, "footprints"), "resolution", mode="permissive")
+
+
+@query()
+def cover_arrays_native(spark, sf_dir):
+    return cover.cover_arrays(read(spark, sf_dir, "footprints"), "resolution", mode="permissive")
+
+
+@query()
+def revisit_count_native(spark, sf_dir):
+    return cover_footprints_native(spark, sf_dir).groupBy("cell_id").agg(F.count("*").alias("visits"))
+
+
+@query()
+def union_cover_native(spark, sf_dir):
+    return cover_footprints_native(spark, sf_dir).select("cell_id").distinct()
+
+
+@query()
+def coverage_offsets_native(spark, sf_dir):
+    """Each footprint once: of the copies of a key, the usable one with the fewest cells."""
+    counts = cover.cover_counts(read(spark, sf_dir, "footprints"), "resolution", mode="permissive")
+    return cover.coverage_offsets(counts.groupBy("footprint_id").agg(F.min("n").alias("n")))
+
+
 @query(f"{_COVER4} SELECT cell_id, CAST(count(*) AS BIGINT) AS visits FROM hit GROUP BY cell_id")
 def revisit_count_r4(spark, sf_dir):
     found = cover.cover_footprint(read(spark, sf_dir, "footprints"), 4, mode="permissive")
