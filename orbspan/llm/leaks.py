@@ -3,8 +3,7 @@
 Texts are folded to letters: case, marks, spaces, hyphens and line ends go, and
 letters that scans mix up share a symbol, so broken and joined words don't matter.
 Each task indexes its pages in shards (FM-index) and searches all overlapping
-phrases of HALF letters of the items; a phrase that is frequent in the shard is
-extended to the left until it has DEPTH letters, then all its occurrences count.
+phrases of HALF letters of the items; all their occurrences count.
 Occurrences on one diagonal merge to spans, spans of a page and an item in the
 same order chain over interruptions (other columns, adverts), and what a chain
 covers is aligned letter by letter: a substituted letter or a lost one costs, and a
