@@ -279,12 +279,16 @@ def chains(doc, item, page, offset, length, items: Items, letters: np.ndarray, w
         for x in found:
             o0, o1 = x[2], x[3]
             more = [y for y in found if y is not x and solid(y) and (y[3] <= o0 + 6 and o0 - y[3] <= NEXT or y[2] >= o1 - 6 and y[2] - o1 <= NEXT)] if solid(x) else []
-            if x[5] < enough_ and (not more or any(x[k] + max(y[k] for y in more) < least[row] for k in (4, 5))):
-                continue
-            same = frozenset((x, *more))
-            if x[5] >= enough_ or same not in seen:
-                out.append((page_, row, [x, *more]))
-            seen.add(same)
+            # short pieces from all over a long page add up, so only the best chain is taken with one on each side, others in pairs
+            sides = [[y for y in more if y[3] <= o0 + 6], [y for y in more if y[2] >= o1 - 6]]
+            both = [[x, *(max(z, key=lambda y: y[4]) for z in sides if z)]] if x is found[0] else []
+            ways = [[x]] if x[5] >= enough_ else []
+            ways += [w for w in both + [[x, y] for y in more] if len(w) > 1 and all(x[k] + max(y[k] for y in w[1:]) >= least[row] for k in (4, 5))]
+            for way in ways:
+                same = frozenset(way)
+                if same not in seen or len(way) == 1:
+                    out.append((page_, row, way))
+                seen.add(same)
     return out
 
 
