@@ -5,7 +5,8 @@ DEPTH letters, which is exact for phrases of up to DEPTH letters; the
 Burrows-Wheeler letters go into a wavelet matrix of five bit levels with block
 counts.  All phrases step back together: two ranks per letter and phrase.  The
 index lives as long as one task, so the position of every suffix is kept (a
-sampling rate of 1).
+sampling rate of 1): four bytes a letter, where sampled positions would need
+suffixes that are sorted to their end to step to the next sample.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 
 HALF = 12
-DEPTH = 2 * HALF
+DEPTH = HALF
 _BITS = 5
 
 
@@ -31,16 +32,7 @@ def packed(letters: np.ndarray) -> np.ndarray:
 class FmIndex:
     def __init__(self, letters: np.ndarray):
         self.n = n = len(letters)
-        key = packed(letters)
-        order = np.argsort(key)
-        step = np.empty(n, dtype=np.int64)
-        if n:
-            sorted_ = key[order]
-            step[order] = np.cumsum(np.r_[False, sorted_[1:] != sorted_[:-1]])
-            del key, sorted_
-            second = np.zeros(n, dtype=np.int64)
-            second[: max(0, n - HALF)] = step[HALF:] + 1
-            order = np.argsort((step << 32) | second)
+        order = np.argsort(packed(letters))
         self.positions = order.astype(np.int32)
         before = np.concatenate([letters[-1:], letters[:-1]])[order] if n else letters
         self.first = np.r_[0, np.cumsum(np.bincount(letters, minlength=1 << _BITS))]

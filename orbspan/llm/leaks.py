@@ -2,49 +2,72 @@
 
 Texts are folded to letters: case, marks, spaces, hyphens and line ends go, and
 letters that scans mix up share a symbol, so broken and joined words don't matter.
+Letters outside ASCII that are no accented ones share ten further symbols.
 Each task indexes its pages in shards (FM-index) and searches all overlapping
-phrases of HALF letters of the items; all their occurrences count.
-Occurrences on one diagonal merge to spans, spans of a page and an item in the
-same order chain over interruptions (other columns, adverts), and what a chain
-covers is aligned letter by letter: a substituted letter or a lost one costs, and a
-jump forward on the page has one price up to REACH letters.  The words of the
-aligned stretch are counted.
+phrases of HALF letters of the items; all their occurrences count, however many.
+
+1. Occurrences of one diagonal merge to spans, the maximal exact matches.
+2. Spans of a page and an item are chained in the order of the item, and a chain is
+   scored in words: words covered, less words left out between spans and a price for
+   each jump on the page.  Stock phrases of long words have many letters but few
+   words, so nearly all chance pairs stay below GATE, half of what is asked for.
+3. For the pairs left all chains are followed letter by letter along their diagonals.
+   A chain whose exact letters alone have enough words is a passage; one that may
+   have is aligned letter by letter: a substituted letter or a lost one costs, and a
+   jump forward on the page has one price up to REACH letters.  The words of the
+   aligned stretch are counted.
+
+Every step looks at one page and one item only, so the result does not depend on
+which pages share a shard or on how often a phrase occurs.
 
 A page and an item are reported from ``words`` words on, less SLACK for words
 that are damaged beyond recognition at the ends.  Null and empty texts match
 nothing; items with fewer words match nothing; rows of an item count as one item
-with several contexts, rows of a page count as one page.
+with several contexts, rows of a page count as one page.  Texts above PART
+characters are searched in parts that have OVERLAP characters in common.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fmindex import HALF, FmIndex
+from .fmindex import HALF, FmIndex, packed
 
 WORDS = 15
 SLACK = 2
-#: Letters of a shard, and letters of items that one pass takes.
+#: Letters of a shard, of items that are searched together, and of items that travel with the tasks of one pass.
 SHARD = 4_000_000
 BLOCK = 4_000_000
+PASS = 16_000_000
 #: Phrases of items that are placed on pages at a time.
-HITS = 1_000_000
-#: Characters that the parts of a text longer than a shard have in common.
-OVERLAP = 40_000
+HITS = 2_000_000
+#: Characters of the parts of a long text, and characters that two of them have in common.
+PART, OVERLAP = 120_000, 40_000
 #: Longest interruption on the page and in the item, in letters.
 REACH, SKIP = 900, 90
-#: Score of a passage, for each of its words, that is enough for a closer look.
+#: Words of a chain, less its price, from which a page and an item get a closer look.
+GATE = 7.0
+#: The same for pieces in different columns together.
+PIECES = 9.5
+#: Price of a chain in words: for each word left out, a jump on the page, a shift by a few letters, a jump to another column.
+_LEFT, _LEAP, _SHIFT, _COLUMN = 0.5, 1.0, 0.3, 2.0
+#: Score of a passage, for each of its words, that pieces have together.
 LETTERS = 3.2
 #: The same as a share of the letters, where words are short.
 SHARE = 0.65
+#: Score of a chain as a share of the letters that the words asked for have at its place, and its words as a share of
+#: them, which together are enough for an alignment.  Passages have 1.2 and more, 2 without damage.
+PLACE = 1.15
 #: Letters of a piece that is continued elsewhere on the page, and letters of the item between two such pieces.
 PIECE, NEXT = 20, 30
+#: Letters of the item after which a chain is cut in two.
+LONG = 2000
 _MISS, _GAP, _JUMP, _FAR = 2, 2, 8, 256
 _EDGE = 130
 
@@ -52,11 +75,17 @@ _EDGE = 130
 _GROUPS = ("a4", "b68", "ce3", "d", "f", "g9", "h", "ijl1|!", "k", "m", "nu", "o0q", "p", "r", "s5", "t7", "v", "w", "x", "y", "z2")
 
 
+#: Stand-ins of letters that are not Latin, and their symbols.
+_OTHER = range(14, 24)
+
+
 def _tables() -> tuple[bytes, bytes]:
     table = bytearray(256)
     for code, group in enumerate(_GROUPS, 1):
         for c in group + group.upper():
             table[ord(c)] = code
+    for code, c in enumerate(_OTHER, len(_GROUPS) + 1):
+        table[c] = code
     return bytes(table), bytes(b for b in range(256) if not table[b])
 
 
@@ -64,94 +93,181 @@ _TABLE, _DROPPED = _tables()
 
 
 def fold(text: str) -> bytes:
-    """Symbols 1..21 of a text's letters."""
+    """Symbols 1..31 of a text's letters."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
+        text = unicodedata.normalize("NFKD", text.casefold())
+        for c in set(text):
+            if c > "\x7f" and c.isalpha():
+                text = text.replace(c, chr(_OTHER[ord(c) % len(_OTHER)]))
     return text.encode("ascii", "ignore").translate(_TABLE, _DROPPED)
 
 
 class Items:
-    """Folded contexts with the place of each word, and their different phrases."""
+    """Folded contexts with the place of each word, and their different phrases.
+
+    ``flat`` has all contexts one after the other with a letter between them that is on no page;
+    ``word`` is the number of words up to each letter, with fractions inside of words.
+    """
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids = np.array([i for i, _ in rows], dtype=np.int64)
-        self.letters, self.words = [], []
+        self.letters, self.words, flat, word = [], [], [np.full(1, 255, np.uint8)], [np.zeros(1)]
         for _, context in rows:
             parts = [w for w in map(fold, (context or "").split()) if w]
             self.letters.append(np.frombuffer(b"".join(parts), np.uint8))
-            ends = np.cumsum([len(p) for p in parts]) if parts else np.empty(0, np.int64)
-            self.words.append((np.r_[0, ends[:-1]] if len(ends) else ends, ends))
-        flat = np.concatenate([*self.letters, np.zeros(0, np.uint8)])
-        sizes = np.array([len(x) for x in self.letters], dtype=np.int64)
-        self.starts = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(rows)), sizes)
-        offset = np.arange(len(flat)) - self.starts[owner]
-        whole = offset + HALF <= sizes[owner]
-        keys = packed_windows(flat)[whole]
-        self.owner, self.offset, at = owner[whole], offset[whole], np.flatnonzero(whole)
-        _, first, self.kind = np.unique(keys, return_index=True, return_inverse=True)
-        self.phrases = flat[at[first][:, None] + np.arange(HALF)] if len(at) else np.empty((0, HALF), np.uint8)
-        self.by_kind = np.argsort(self.kind, kind="stable")
-        self.kind_start = np.searchsorted(self.kind[self.by_kind], np.arange(len(self.phrases) + 1))
-        self.flat, self.sizes = flat, sizes
+            size = np.array([len(p) for p in parts], dtype=np.int64)
+            ends = np.cumsum(size)
+            self.words.append((ends - size, ends))
+            flat += [self.letters[-1], np.full(1, 255, np.uint8)]
+            inside = np.arange(int(size.sum())) - np.repeat(ends - size, size)
+            word += [np.repeat(np.arange(len(size)), size) + inside / np.repeat(size, size), np.full(1, float(len(size)))]
+        self.flat, self.word = np.concatenate(flat), np.concatenate(word)
+        self.sizes = sizes = np.array([len(x) for x in self.letters], dtype=np.int64)
+        self.starts = np.cumsum(sizes + 1) - sizes
+        owner = np.repeat(np.arange(len(rows)), np.maximum(0, sizes - HALF + 1))
+        begins = np.cumsum(np.maximum(0, sizes - HALF + 1))
+        offset = np.arange(len(owner)) - np.repeat(np.r_[0, begins[:-1]] if len(begins) else begins, np.maximum(0, sizes - HALF + 1))
+        at = self.starts[owner] + offset
+        keys = packed(np.where(self.flat == 255, 0, self.flat))[at]
+        order = np.argsort(keys, kind="stable")
+        new = np.r_[True, keys[order][1:] != keys[order][:-1]] if len(order) else np.empty(0, bool)
+        first = at[order[new]]
+        self.phrases = self.flat[first[:, None] + np.arange(HALF)] if len(at) else np.empty((0, HALF), np.uint8)
+        # places of the phrases, those of one phrase together
+        self.kind_start = np.r_[np.flatnonzero(new), len(order)]
+        self.place, self.owner = at[order], owner[order]
+        self.before = self.flat[self.place - 1]
 
     def least(self, words: int) -> np.ndarray:
-        """Score that a passage of ``words`` words has at least, by item: LETTERS a word, or SHARE of the item's shortest run of words."""
+        """Score that the pieces of a passage of ``words`` words have at least, by item: LETTERS a word, or SHARE of the item's shortest run of words."""
         many = words + SLACK
         run = [(e[many - 1 :] - b[: len(b) - many + 1]).min() if len(b) >= many else np.inf for b, e in self.words]
         return np.minimum(SHARE * np.array(run, dtype=float), LETTERS * words)
 
+    def runs(self, words: int) -> list[np.ndarray]:
+        """By item, for each word: the fewest letters of ``words`` words in a row that it is one of."""
+        out = []
+        for b, e in self.words:
+            run = np.full(len(b) + words - 1, np.iinfo(np.int64).max)
+            if len(b) >= words:
+                run[words - 1 : len(b)] = e[words - 1 :] - b[: len(b) - words + 1]
+            out.append(np.lib.stride_tricks.sliding_window_view(run, words).min(1) if len(b) else run[:0])
+        return out
 
-def packed_windows(flat: np.ndarray) -> np.ndarray:
-    from .fmindex import packed
 
-    return packed(flat)
+def _length(letters: np.ndarray, page: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Letters that are the same from each place on, HALF at least; both texts end with letters of their own."""
+    length = np.full(len(page), HALF, dtype=np.int64)
+    open_, step = np.arange(len(page)), 0
+    while len(open_):
+        wide = 1 if step < 12 else 64
+        step += 1
+        if wide == 1:
+            open_ = open_[letters[page[open_] + length[open_]] == flat[at[open_] + length[open_]]]
+            length[open_] += 1
+            continue
+        more = []
+        for lo in range(0, len(open_), 1 << 15):
+            part, k = open_[lo : lo + (1 << 15)], np.arange(wide)
+            x, y = (page[part] + length[part])[:, None] + k, (at[part] + length[part])[:, None] + k
+            same = letters[np.minimum(x, len(letters) - 1)] == flat[np.minimum(y, len(flat) - 1)]
+            run = np.where(same.all(1), wide, same.argmin(1))
+            length[part] += run
+            more.append(part[run == wide])
+        open_ = np.concatenate(more)
+    return length
 
 
-def spans(index: FmIndex, items: Items, docs: np.ndarray):
-    """(doc, item row, page letter, item letter, length): merged exact spans, sorted by doc, item and page letter, in blocks of documents.
+def spans(index: FmIndex, items: Items, letters: np.ndarray, docs: np.ndarray):
+    """(doc, item row, page letter, item letter, length): maximal exact matches, in blocks of documents.
 
     ``docs`` has the first letter of each document in the shard.  A block has about HITS phrases of items, or one document.
     """
-    low, high = index.search(items.phrases)
-    which, position = index.locate(low, high)
-    order = np.argsort(position)
-    kind, position = which[order], position[order]
+    which, position = index.locate(*index.search(items.phrases))
+    kinds = np.full(index.n, -1, dtype=np.int32)
+    kinds[position] = which
+    position = np.flatnonzero(kinds >= 0)
+    kind = kinds[position]
     times = items.kind_start[kind + 1] - items.kind_start[kind]
     doc = np.searchsorted(docs, position, side="right") - 1
     ends = np.cumsum(times)
     lo = 0
     while lo < len(kind):
         hi = int(np.searchsorted(ends, ends[lo] - times[lo] + HITS, side="right"))
-        hi = int(np.searchsorted(doc, doc[min(hi, len(doc) - 1)]))
-        if hi <= lo:
-            hi = int(np.searchsorted(doc, doc[lo], side="right"))
-        if ends[-1] - (ends[lo] - times[lo]) <= HITS:
-            hi = len(kind)
-        yield _merged(items, docs, kind[lo:hi], position[lo:hi], doc[lo:hi], times[lo:hi])
+        if hi < len(kind):
+            hi = int(np.searchsorted(doc, doc[hi]))
+            if hi <= lo:
+                hi = int(np.searchsorted(doc, doc[lo], side="right"))
+        yield _matches(items, letters, docs, kind[lo:hi], position[lo:hi], doc[lo:hi], times[lo:hi])
         lo = hi
 
 
-def _merged(items: Items, docs: np.ndarray, kind, position, doc, times):
-    place = items.by_kind[np.arange(times.sum()) + np.repeat(items.kind_start[kind] - (np.cumsum(times) - times), times)]
-    page, doc, item, offset = np.repeat(position, times), np.repeat(doc, times), items.owner[place], items.offset[place]
-    inside = page - docs[doc]
-    line = inside - offset
-    line -= line.min()
-    group = (doc - doc[0]) * len(items.ids) + item
-    bits = [int(x.max()).bit_length() for x in (group, line, inside)]
-    if sum(bits) < 63:
-        order = np.argsort((group << (bits[1] + bits[2])) | (line << bits[2]) | inside)
+def _matches(items: Items, letters: np.ndarray, docs: np.ndarray, kind, position, doc, times):
+    many = np.cumsum(times)
+    nth = np.arange(many[-1]) + np.repeat(items.kind_start[kind] - (many - times), times)
+    # a match begins where the letters before differ
+    begins = np.repeat(letters[position - 1], times) != items.before[nth]
+    nth = nth[begins]
+    source = np.repeat(np.arange(len(kind), dtype=np.int32), times)[begins]
+    page, at, item = position[source], items.place[nth], items.owner[nth]
+    return doc[source], item, page, at - items.starts[item], _length(letters, page, items.flat, at)
+
+
+def likely(doc, item, page, offset, length, items: Items):
+    """The spans of the pages and items that have a chain of at least GATE words, sorted by page, item and page letter."""
+    code = doc.astype(np.int64) * len(items.ids) + item
+    at = items.starts[item] + offset
+    first, last = items.word[at], items.word[at + length]
+    low = code.min() if len(code) else 0
+    if len(code) and code.max() - low < 1 << 23:
+        pays = np.bincount(code - low, last - first) >= GATE
+        kept = np.flatnonzero(pays[code - low])
     else:
-        order = np.lexsort((inside, line, group))
-    group, line, page, offset, doc, item = (x[order] for x in (group, line, page, offset, doc, item))
-    cut = np.r_[True, (group[1:] != group[:-1]) | (line[1:] != line[:-1]) | (page[1:] > page[:-1] + HALF)]
-    start = np.flatnonzero(cut)
-    last = np.r_[start[1:] - 1, len(doc) - 1]
-    length = page[last] + HALF - page[start]
-    doc, item, page, offset, group = (x[start] for x in (doc, item, page, offset, group))
-    order = np.lexsort((page, group))
-    return tuple(x[order] for x in (doc, item, page, offset, length))
+        _, group = np.unique(code, return_inverse=True)
+        kept = np.flatnonzero((np.bincount(group, last - first) >= GATE)[group])
+    bits = int(offset.max()).bit_length() if len(offset) else 0
+    kept = kept[np.argsort((code[kept] - low) << bits | offset[kept])]
+    if not len(kept):
+        return tuple(x[kept] for x in (doc, item, page, offset, length))
+    doc, item, page, offset, length, code, first, last = (x[kept] for x in (doc, item, page, offset, length, code, first, last))
+    group = np.cumsum(np.r_[False, code[1:] != code[:-1]])
+    end = offset + length
+    far = int(end.max()) + 1
+    furthest = np.maximum.accumulate(end + group * far) - group * far
+    links, a = [], np.arange(len(code))
+    for lag in range(1, len(code)):
+        a = a[: np.searchsorted(a, len(code) - lag)]
+        b = a + lag
+        near = (group[a] == group[b]) & (offset[b] - furthest[a] <= SKIP)
+        a, b = a[near], b[near]
+        if not len(a):
+            break
+        gap, on = offset[b] - end[a], page[b] - page[a]
+        shift = on - (offset[b] - offset[a])
+        forward = (shift >= -25) & (on <= REACH + length[a])
+        ok = (offset[b] > offset[a]) & (gap <= np.where(forward, SKIP, NEXT)) & (end[b] > end[a])
+        x, y, forward, shift = a[ok], b[ok], forward[ok], np.abs(shift[ok])
+        apart = first[y] - last[x]
+        price = np.where(forward, np.where(shift > HALF, _LEAP, _SHIFT * (shift > 0)), _COLUMN)
+        links.append((x, y, np.where(apart > 0, -_LEFT * apart, apart) - price + last[y] - first[y]))
+    score = last - first
+    if links:
+        x, y, value = (np.concatenate(k) for k in zip(*links))
+        changed = np.ones(len(score), dtype=bool)
+        while True:
+            now = np.flatnonzero(changed[x])
+            reached = score[x[now]] + value[now]
+            better = reached > score[y[now]] + 1e-9
+            if not better.any():
+                break
+            np.maximum.at(score, y[now[better]], reached[better])
+            changed[:] = False
+            changed[y[now[better]]] = True
+    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    good = np.maximum.reduceat(score, start) >= GATE
+    kept = np.flatnonzero(good[group])
+    kept = kept[np.lexsort((page[kept], group[kept]))]
+    return tuple(x[kept] for x in (doc, item, page, offset, length))
 
 
 def _links(doc, item, page, offset, length):
@@ -184,17 +300,20 @@ def _along(letters: np.ndarray, page: np.ndarray, flat: np.ndarray, item: np.nda
     return np.where(k < width[:, None], np.where(same, 1, -1), 0).astype(np.int16)
 
 
-def _beyond(letters, page, items: Items, item, offset, step: int) -> np.ndarray:
-    """Most that the letters before or behind a place add on its diagonal, where a wrong one costs one."""
+def _beyond(letters, page, items: Items, item, offset, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Most that the letters before or behind a place add on its diagonal, where a wrong one costs one, and how many letters that takes."""
     room = offset + 1 if step < 0 else items.sizes[item] - offset
     at = items.starts[item] + offset
-    out = np.zeros(len(page), np.int64)
+    out, far = np.zeros(len(page), np.int64), np.zeros(len(page), np.int64)
     for lo in range(0, len(page), 1 << 14):
         part = slice(lo, lo + (1 << 14))
         v = _along(letters, page[part], items.flat, at[part], np.minimum(room[part], 64), step)
         if v.size:
-            out[part] = np.maximum(0, np.cumsum(v, 1, dtype=np.int16).max(1))
-    return out
+            v = np.cumsum(v, 1, dtype=np.int16)
+            best = v.argmax(1)
+            gain = v[np.arange(len(v)), best]
+            out[part], far[part] = np.maximum(0, gain), np.where(gain > 0, best + 1, 0)
+    return out, far
 
 
 def _between(letters, items: Items, item, page0, offset0, page1, offset1) -> np.ndarray:
@@ -215,9 +334,27 @@ def _between(letters, items: Items, item, page0, offset0, page1, offset1) -> np.
     return out
 
 
+def _words(items: Items, row: int, chain: list[tuple[int, int, int]]) -> float:
+    """Words of the exact letters of a chain, less the price of its links."""
+    word, start = items.word, int(items.starts[row])
+    total, before = 0.0, None
+    for p, o, n in chain:
+        first, last = word[start + o], word[start + o + n]
+        if before:
+            shift = abs((p - before[0]) - (o - before[1]))
+            apart = first - before[2]
+            total += (-_LEFT * apart if apart > 0 else apart) - (_LEAP if shift > HALF else _SHIFT * (shift > 0))
+        total += last - first
+        before = (p, o, last)
+    return total
+
+
 def chains(doc, item, page, offset, length, items: Items, letters: np.ndarray, words: int):
     """(doc, item, stretches) of each passage that a page and an item may have in common.
 
+    A stretch is (page from, to, item from, to, exact letters, score, words less their price,
+    page from, to with the letters that go on along the diagonal).
+
     All chains are followed, not only the best: stock phrases that an item shares with
     a long page often have more exact letters than the passage.  A chain counts with
     the letters between its spans and at its ends, compared along their diagonals.
@@ -235,24 +372,22 @@ def chains(doc, item, page, offset, length, items: Items, letters: np.ndarray, w
     # a link that costs more than the span on one side of it brings is better left out
     pays = value > -np.minimum(length[a], length[b]) - 8
     a, b, value = a[pays], b[pays], value[pays]
-    once = np.union1d(np.flatnonzero(length >= 17), np.r_[a, b])
-    ahead, behind = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
-    ahead[once] = _beyond(letters, page[once] + length[once], items, item[once], offset[once] + length[once], 1)
-    behind[once] = _beyond(letters, page[once] - 1, items, item[once], offset[once] - 1, -1)
+    ahead, on = _beyond(letters, page + length, items, item, offset + length, 1)
+    behind, back = _beyond(letters, page - 1, items, item, offset - 1, -1)
     p, o, n = page.tolist(), offset.tolist(), length.tolist()
     # for each span the best that leads to it and the best that follows
     score, gain = (behind + length).tolist(), ahead.tolist()
     before, after = [-1] * len(p), [-1] * len(p)
     links = list(zip(a.tolist(), b.tolist(), value.tolist()))
     for x, y, v in links:
-        if score[x] + v + n[y] > score[y]:
+        if score[x] + v + n[y] >= score[y]:
             score[y], before[y] = score[x] + v + n[y], x
     for x, y, v in reversed(links):
-        if v + n[y] + gain[y] > gain[x]:
+        if v + n[y] + gain[y] >= gain[x]:
             gain[x], after[x] = v + n[y] + gain[y], y
-    least = items.least(words)
+    least, runs = items.least(words), items.runs(words)
     whole = np.array(score) + np.array(gain)
-    may = np.flatnonzero((whole >= np.minimum(PIECE, 0.8 * least[item])) & np.isin(np.arange(len(p)), once))
+    may = np.flatnonzero(whole >= PIECE)
     used = set()
     by_group: dict[tuple[int, int], list] = {}
     for k in may[np.argsort(-whole[may], kind="stable")].tolist():
@@ -268,22 +403,31 @@ def chains(doc, item, page, offset, length, items: Items, letters: np.ndarray, w
             chain.append(x)
             x = after[x]
         used.update(chain)
-        c, d = chain[0], chain[-1]
-        exact = n[c] + sum(min(n[j], o[j] + n[j] - o[i] - n[i]) for i, j in zip(chain, chain[1:]))
-        stretch = (p[c], p[d] + n[d], o[c], o[d] + n[d], min(exact, o[d] + n[d] - o[c]), int(whole[k]))
-        by_group.setdefault((int(doc[k]), int(item[k])), []).append(stretch)
+        start = 0
+        for stop in range(1, len(chain) + 1):
+            if stop < len(chain) and o[chain[stop]] + n[chain[stop]] - o[chain[start]] <= LONG:
+                continue
+            part, start = chain[start:stop], stop
+            c, d = part[0], part[-1]
+            exact = n[c] + sum(min(n[j], o[j] + n[j] - o[i] - n[i]) for i, j in zip(part, part[1:]))
+            ends = p[c] - int(back[c]), p[d] + n[d] + int(on[d])
+            total = int(whole[k]) if len(part) == len(chain) else exact
+            row = int(item[k])
+            net = _words(items, row, [(p[j], o[j], n[j]) for j in part])
+            stretch = (p[c], p[d] + n[d], o[c], o[d] + n[d], min(exact, o[d] + n[d] - o[c]), total, net, *ends)
+            by_group.setdefault((int(doc[k]), row), []).append(stretch)
     solid = lambda x: x[4] >= PIECE and x[5] >= max(PIECE, 0.46 * (x[3] - x[2]))
     for (page_, row), found in by_group.items():
-        enough_ = 0.8 * least[row]
-        seen = set()
+        last, seen = items.words[row][1], set()
         for x in found:
             o0, o1 = x[2], x[3]
             more = [y for y in found if y is not x and solid(y) and (y[3] <= o0 + 6 and o0 - y[3] <= NEXT or y[2] >= o1 - 6 and y[2] - o1 <= NEXT)] if solid(x) else []
             # short pieces from all over a long page add up, so only the best chain is taken with one on each side, others in pairs
             sides = [[y for y in more if y[3] <= o0 + 6], [y for y in more if y[2] >= o1 - 6]]
             both = [[x, *(max(z, key=lambda y: y[4]) for z in sides if z)]] if x is found[0] else []
-            ways = [[x]] if x[5] >= enough_ else []
-            ways += [w for w in both + [[x, y] for y in more] if len(w) > 1 and all(x[k] + max(y[k] for y in w[1:]) >= least[row] for k in (4, 5))]
+            middle = min(int(np.searchsorted(last, (o0 + o1) // 2, side="right")), len(last) - 1)
+            ways = [[x]] if x[5] / runs[row][middle] + x[6] / words >= PLACE else []
+            ways += [w for w in both + [[x, y] for y in more] if len(w) > 1 and sum(y[6] - _COLUMN for y in w[1:]) + x[6] >= PIECES and all(x[k] + max(y[k] for y in w[1:]) >= least[row] for k in (4, 5))]
             for way in ways:
                 same = frozenset(way)
                 if same not in seen or len(way) == 1:
@@ -369,48 +513,74 @@ def verify(found, items: Items, letters: np.ndarray, docs: np.ndarray, ends: np.
 
     def job(doc, item, stretch, others=()):
         """Page and item letters around a stretch; in the item not beyond where another one begins."""
-        p0, p1, o0, o1, *_ = stretch
+        p0, p1, o0, o1, *_, q0, q1 = stretch
         low = max([0, o0 - _EDGE, *(x[3] for x in others if x[3] <= o0 + 6)])
         high = min([len(items.letters[item]), o1 + _EDGE, *(x[2] for x in others if x[2] >= o1 - 6)])
-        return (doc, item, max(docs[doc], p0 - 400), min(ends[doc], p1 + 400), min(low, o0), max(high, o1), p0, p1)
+        return (doc, item, max(docs[doc], p0 - 400), min(ends[doc], p1 + 400), min(low, o0), max(high, o1), q0, q1)
 
-    sure, open_, pieces, enough_alone = [], [], [], []
-    least = items.least(words)
+    sure, waiting, pieces = [], [], []
+    taken: dict[tuple[int, int], list] = {}
+    # the chains of a page and item come best first; one within a passage that is found adds nothing
+    within = lambda at, q0, q1: any(a <= q0 and q1 <= b for a, b in taken.get(at, ()))
     for doc, item, (best, *more) in found:
-        p0, p1, o0, o1, n, value = best
-        many = count(item, [(o0, o1)])
-        if many >= words + 6 and n >= 0.75 * (o1 - o0) or o1 - o0 + 2 * _EDGE >= 4000:
-            if many >= words:
-                sure.append((doc, item, many, [(p0, p1)]))
-            continue
-        whole = count(item, [(x[2], x[3]) for x in (best, *more)])
-        if more and 2 * whole + 6 >= words:
-            enough_alone.append(value >= 0.8 * least[item])
-            pieces.append([job(doc, item, x, [y for y in (best, *more) if y is not x]) for x in (best, *more)])
-        elif 2 * many + 6 >= words and value >= 0.8 * least[item]:
-            open_.append(job(doc, item, best))
+        _, _, o0, o1, exact, value, net, q0, q1 = best
+        if more:
+            if 2 * count(item, [(x[2], x[3]) for x in (best, *more)]) + 6 >= words:
+                pieces.append((doc, item, (best, *more)))
+        elif not within((doc, item), q0, q1):
+            many = count(item, [(o0, o1)])
+            if min(many, net) >= words and max(exact, value) >= 0.75 * (o1 - o0):
+                # as many words as are asked for, by the exact letters alone and jumps set against them
+                sure.append((doc, item, many, [(q0, q1)]))
+                taken.setdefault((doc, item), []).append((q0, q1))
+            elif 2 * many + 6 >= words and o1 - o0 + 2 * _EDGE < 4096:
+                waiting.append((job(doc, item, best), o0, o1))
     stretch = lambda part: ([items.letters[x[1]][x[4] : x[5]] for x in part], [letters[x[2] : x[3]] for x in part])
-    able = []
-    for part in _parts(open_, 2 * block):
-        able += [x for x, s in zip(part, align(*stretch(part), where=False).tolist()) if s >= least[x[1]]]
+    shortest = [r.min() if len(r) else np.inf for r in items.runs(words)]
     placed = {}
-    for part in _parts(able + sorted({x for p in pieces for x in p}), block):
-        for x, s, a, b in zip(part, *(r.tolist() for r in align(*stretch(part)))):
-            placed[x] = (s, a + x[4], b + x[4])
-    for x in able:
-        s, a, b = placed[x]
-        many = count(x[1], [(a, b)])
-        if many >= words and enough(s, b - a):
-            sure.append((x[0], x[1], many, [x[6:]]))
-    for alone, part in zip(enough_alone, pieces):
-        s, a, b = placed[part[0]]
-        many = count(part[0][1], [(a, b)])
-        if alone and many >= words and enough(s, b - a):
-            sure.append((part[0][0], part[0][1], many, [part[0][6:]]))
-            continue
+
+    def place(jobs):
+        for part in _parts(sorted(set(jobs) - placed.keys()), block):
+            for x, s, a, b in zip(part, *(r.tolist() for r in align(*stretch(part)))):
+                placed[x] = (s, a + x[4], b + x[4])
+
+    while waiting:
+        # of chains that overlap in page and item the best is aligned first
+        now, later, held = [], [], {}
+        for x in waiting:
+            one, o0, o1 = x
+            q0, q1 = one[6:]
+            if within(one[:2], q0, q1):
+                continue
+            others = held.setdefault(one[:2], [])
+            if any(a < q1 and q0 < b and c < o1 and o0 < d for a, b, c, d in others):
+                later.append(x)
+            else:
+                others.append((q0, q1, o0, o1))
+                now.append(one)
+        able = []
+        for part in _parts(now, 2 * block):
+            able += [x for x, s in zip(part, align(*stretch(part), where=False).tolist()) if enough(s, shortest[x[1]])]
+        place(able)
+        for x in able:
+            s, a, b = placed[x]
+            many = count(x[1], [(a, b)])
+            if many >= words and enough(s, b - a):
+                sure.append((x[0], x[1], many, [x[6:]]))
+                taken.setdefault(x[:2], []).append(x[6:])
+        waiting = later
+    settled = {x[:2] for x in sure}
+    asked = []
+    for doc, item, way in pieces:
+        if (doc, item) in settled:
+            # the passage goes on here: its stretches are taken out too
+            sure.append((doc, item, 0, [x[7:] for x in way]))
+        else:
+            asked.append([job(doc, item, x, [y for y in way if y is not x]) for x in way])
+    place(x for way in asked for x in way)
+    for part in asked:
         solid = [x for x in part if placed[x][0] >= PIECE and placed[x][0] >= 0.58 * (placed[x][2] - placed[x][1])]
-        good = [placed[x][1:] for x in solid]
-        good.sort()
+        good = sorted(placed[x][1:] for x in solid)
         joined = [list(good[0])] if good else []
         for a, b in good[1:]:
             if a - joined[-1][1] <= NEXT:
@@ -432,7 +602,7 @@ def letter_places(text: str) -> np.ndarray:
     return np.repeat(np.arange(len(text)), [counts[c] for c in text])
 
 
-def search_shard(texts: list[str | None], blocks: list[Items], words: int):
+def search_shard(texts: list[str | None], blocks: Iterable[Items], words: int):
     """(text number, item id, words, [{start, stop}]) of one shard; start and stop are characters of the text."""
     folded = [fold(t) if t else b"" for t in texts]
     sizes = np.array([len(f) + 1 for f in folded], dtype=np.int64)
@@ -442,7 +612,7 @@ def search_shard(texts: list[str | None], blocks: list[Items], words: int):
         return
     index = FmIndex(letters)
     for items in blocks:
-        found = [x for block in spans(index, items, docs) for x in chains(*block, items, letters, words)]
+        found = [x for block in spans(index, items, letters, docs) for x in chains(*likely(*block, items), items, letters, words)]
         best: dict[tuple[int, int], int] = {}
         placed: dict[tuple[int, int], list] = {}
         for doc, item, many, stretches in verify(found, items, letters, docs, docs + sizes - 1, words):
@@ -462,11 +632,11 @@ def leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, key: str = "doc
     """(key, item_id, words, spans), one row per case: items of (item_id, context) with at least ``words`` words in a row on a page.
 
     ``spans`` are the stretches of the page that hold the passage, [{start, stop}] in
-    characters.  The items travel with the tasks, in passes of at most BLOCK letters of context,
-    so more of them take more passes over the pages, not more memory.
+    characters.  The items travel with the tasks, at most PASS characters of context at once: a shard is
+    indexed once and searched for them in blocks of BLOCK; more items take more passes over the pages, not more memory.
     """
     size = items.selectExpr("sum(length(context))").first()[0] or 0
-    passes = max(1, -(-size // BLOCK))
+    passes = max(1, -(-size // PASS))
     once = items.select("item_id", "context").where("item_id is not null and context is not null").distinct()
     out = None
     for k in range(passes):
@@ -489,11 +659,24 @@ def removal_spans(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def parts(text: str):
-    """(start, text) of the whole text, or of parts of at most SHARD characters that overlap."""
+    """(start, text) of the whole text, or of parts of at most PART characters that overlap."""
     overlap = min(OVERLAP, SHARD // 2)
-    if len(text) <= SHARD:
+    size = min(PART, SHARD)
+    if len(text) <= size:
         return [(0, text)]
-    return [(at, text[at : at + SHARD]) for at in range(0, len(text) - overlap, SHARD - overlap)]
+    return [(at, text[at : at + size]) for at in range(0, len(text) - overlap, size - overlap)]
+
+
+def item_blocks(rows: list[tuple[int, str]]) -> list[list[tuple[int, str]]]:
+    """The rows in blocks of about BLOCK characters."""
+    out, size = [[]], 0
+    for row in rows:
+        if out[-1] and size + len(row[1]) > BLOCK:
+            out.append([])
+            size = 0
+        out[-1].append(row)
+        size += len(row[1])
+    return out
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -506,10 +689,12 @@ def _one_pass(docs: DataFrame, rows, words: int, key: str, text: str) -> DataFra
     kind = docs.schema[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [Items(rows)]
+        split = item_blocks(rows)
+        # several blocks are made anew for each shard, as all at once would take too much memory
+        one = [Items(split[0])] if len(split) == 1 else None
 
         def shard(keys, texts, starts):
-            found = list(search_shard(texts, blocks, need))
+            found = list(search_shard(texts, one or map(Items, split), need))
             if found:
                 doc, item, many, cut = zip(*found)
                 cut = [[{k: v + starts[d] for k, v in one.items()} for one in c] for d, c in zip(doc, cut)]
