@@ -53,10 +53,13 @@ PART, OVERLAP = 120_000, 40_000
 REACH, SKIP = 900, 90
 #: Words of a chain, less its price, from which a page and an item get a closer look.
 GATE = 7.0
+#: Words of the chains that are followed then; shorter ones only in spans of PIECE letters.
+LEAST = 3.0
 #: The same for pieces in different columns together.
 PIECES = 9.5
 #: Price of a chain in words: for each word left out, a jump on the page, a shift by a few letters, a jump to another column.
 _LEFT, _LEAP, _SHIFT, _COLUMN = 0.5, 1.0, 0.3, 2.0
+_PRICE = np.array([0.0] + [_SHIFT] * HALF + [_LEAP], dtype=np.float32)
 #: Score of a passage, for each of its words, that pieces have together.
 LETTERS = 3.2
 #: The same as a share of the letters, where words are short.
@@ -68,7 +71,7 @@ PLACE = 1.15
 PIECE, NEXT = 20, 30
 #: Letters of the item after which a chain is cut in two.
 LONG = 2000
-_MISS, _GAP, _JUMP, _FAR = 2, 2, 8, 256
+_MISS, _JUMP, _FAR = 2, 8, 256
 _EDGE = 130
 
 # Letters by symbol: those that scans mix up stand together.
@@ -121,9 +124,10 @@ class Items:
             flat += [self.letters[-1], np.full(1, 255, np.uint8)]
             inside = np.arange(int(size.sum())) - np.repeat(ends - size, size)
             word += [np.repeat(np.arange(len(size)), size) + inside / np.repeat(size, size), np.full(1, float(len(size)))]
-        self.flat, self.word = np.concatenate(flat), np.concatenate(word)
+        self.flat, self.word = np.concatenate(flat), np.concatenate(word).astype(np.float32)
         self.sizes = sizes = np.array([len(x) for x in self.letters], dtype=np.int64)
-        self.starts = np.cumsum(sizes + 1) - sizes
+        self.starts = (np.cumsum(sizes + 1) - sizes).astype(np.int32)
+        self._runs: dict[int, list[np.ndarray]] = {}
         owner = np.repeat(np.arange(len(rows)), np.maximum(0, sizes - HALF + 1))
         begins = np.cumsum(np.maximum(0, sizes - HALF + 1))
         offset = np.arange(len(owner)) - np.repeat(np.r_[0, begins[:-1]] if len(begins) else begins, np.maximum(0, sizes - HALF + 1))
@@ -135,7 +139,7 @@ class Items:
         self.phrases = self.flat[first[:, None] + np.arange(HALF)] if len(at) else np.empty((0, HALF), np.uint8)
         # places of the phrases, those of one phrase together
         self.kind_start = np.r_[np.flatnonzero(new), len(order)]
-        self.place, self.owner = at[order], owner[order]
+        self.place, self.owner = at[order].astype(np.int32), owner[order].astype(np.int32)
         self.before = self.flat[self.place - 1]
 
     def least(self, words: int) -> np.ndarray:
@@ -146,7 +150,9 @@ class Items:
 
     def runs(self, words: int) -> list[np.ndarray]:
         """By item, for each word: the fewest letters of ``words`` words in a row that it is one of."""
-        out = []
+        if words in self._runs:
+            return self._runs[words]
+        out = self._runs[words] = []
         for b, e in self.words:
             run = np.full(len(b) + words - 1, np.iinfo(np.int64).max)
             if len(b) >= words:
@@ -157,7 +163,7 @@ class Items:
 
 def _length(letters: np.ndarray, page: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Letters that are the same from each place on, HALF at least; both texts end with letters of their own."""
-    length = np.full(len(page), HALF, dtype=np.int64)
+    length = np.full(len(page), HALF, dtype=np.int32)
     open_, step = np.arange(len(page)), 0
     while len(open_):
         wide = 1 if step < 12 else 64
@@ -186,10 +192,10 @@ def spans(index: FmIndex, items: Items, letters: np.ndarray, docs: np.ndarray):
     which, position = index.locate(*index.search(items.phrases))
     kinds = np.full(index.n, -1, dtype=np.int32)
     kinds[position] = which
-    position = np.flatnonzero(kinds >= 0)
+    position = np.flatnonzero(kinds >= 0).astype(np.int32)
     kind = kinds[position]
     times = items.kind_start[kind + 1] - items.kind_start[kind]
-    doc = np.searchsorted(docs, position, side="right") - 1
+    doc = (np.searchsorted(docs, position, side="right") - 1).astype(np.int32)
     ends = np.cumsum(times)
     lo = 0
     while lo < len(kind):
@@ -230,46 +236,67 @@ def likely(doc, item, page, offset, length, items: Items):
     if not len(kept):
         return tuple(x[kept] for x in (doc, item, page, offset, length))
     doc, item, page, offset, length, code, first, last = (x[kept] for x in (doc, item, page, offset, length, code, first, last))
-    group = np.cumsum(np.r_[False, code[1:] != code[:-1]])
-    end = offset + length
+    group = np.cumsum(np.r_[False, code[1:] != code[:-1]], dtype=np.int32)
+    end, words = offset + length, last - first
     far = int(end.max()) + 1
-    furthest = np.maximum.accumulate(end + group * far) - group * far
-    links, a = [], np.arange(len(code))
+    furthest = (np.maximum.accumulate(end + group * np.int64(far)) - group * np.int64(far)).astype(np.int32)
+    links, a = [], np.arange(len(code), dtype=np.int32)
     for lag in range(1, len(code)):
         a = a[: np.searchsorted(a, len(code) - lag)]
         b = a + lag
-        near = (group[a] == group[b]) & (offset[b] - furthest[a] <= SKIP)
+        near = np.flatnonzero((group[a] == group[b]) & (offset[b] - furthest[a] <= SKIP))
         a, b = a[near], b[near]
         if not len(a):
             break
         gap, on = offset[b] - end[a], page[b] - page[a]
         shift = on - (offset[b] - offset[a])
         forward = (shift >= -25) & (on <= REACH + length[a])
-        ok = (offset[b] > offset[a]) & (gap <= np.where(forward, SKIP, NEXT)) & (end[b] > end[a])
+        ok = np.flatnonzero((offset[b] > offset[a]) & (gap <= np.where(forward, np.int32(SKIP), np.int32(NEXT))) & (end[b] > end[a]))
         x, y, forward, shift = a[ok], b[ok], forward[ok], np.abs(shift[ok])
         apart = first[y] - last[x]
-        price = np.where(forward, np.where(shift > HALF, _LEAP, _SHIFT * (shift > 0)), _COLUMN)
-        links.append((x, y, np.where(apart > 0, -_LEFT * apart, apart) - price + last[y] - first[y]))
-    score = last - first
-    if links:
-        x, y, value = (np.concatenate(k) for k in zip(*links))
-        changed = np.ones(len(score), dtype=bool)
-        while True:
-            now = np.flatnonzero(changed[x])
-            reached = score[x[now]] + value[now]
-            better = reached > score[y[now]] + 1e-9
-            if not better.any():
-                break
-            np.maximum.at(score, y[now[better]], reached[better])
-            changed[:] = False
-            changed[y[now[better]]] = True
+        price = np.where(forward, _PRICE[np.minimum(shift, HALF + 1)], np.float32(_COLUMN))
+        links.append((x, y, np.minimum(apart, -_LEFT * apart) - price))
+    x, y, value = (np.concatenate(k) for k in zip(*links)) if links else (a, a, words[:0])
+    score = _reached(words, x, y, value + words[y])
     start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    good = np.maximum.reduceat(score, start) >= GATE
-    kept = np.flatnonzero(good[group])
+    good = (np.maximum.reduceat(score, start) >= GATE)[group]
+    # spans that no chain of some words goes through are left out
+    inner = np.flatnonzero(good[x])
+    x, y, value = x[inner], y[inner], value[inner]
+    through = score + _reached(np.where(good, words, 0), y, x, value + words[x]) - words
+    kept = np.flatnonzero(good & ((through >= LEAST) | (length >= PIECE)))
     kept = kept[np.lexsort((page[kept], group[kept]))]
     return tuple(x[kept] for x in (doc, item, page, offset, length))
 
 
+def _reached(alone: np.ndarray, x: np.ndarray, y: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Best sum that a path along the links x -> y collects up to each place, which has ``alone`` by itself."""
+    score = alone.copy()
+    changed, now = np.zeros(len(score), dtype=bool), np.arange(len(x))
+    while True:
+        reached = score[x[now]] + value[now]
+        better = reached > score[y[now]] + 1e-4
+        if not better.any():
+            return score
+        np.maximum.at(score, y[now[better]], reached[better])
+        changed[:] = False
+        changed[y[now[better]]] = True
+        now = np.flatnonzero(changed[x])
+
+
+def _gathered(blocks, many: int = 200_000):
+    """Blocks of spans of the same kind, put together up to about ``many`` spans."""
+    waiting, size = [], 0
+    for block in blocks:
+        waiting.append(block)
+        size += len(block[0])
+        if size >= many:
+            yield tuple(np.concatenate(x) for x in zip(*waiting))
+            waiting, size = [], 0
+    if waiting:
+        yield tuple(np.concatenate(x) for x in zip(*waiting))
+
+
 def _links(doc, item, page, offset, length):
     """Pairs of spans (from, to) of a page and an item that may follow each other in a passage, and letters they share in the item."""
     group = np.cumsum(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
@@ -461,24 +488,28 @@ def align(items: list[np.ndarray], pages: list[np.ndarray], where: bool = True):
     for r, (a, b) in enumerate(zip(items, pages)):
         asked[r, : len(a)] = a
         text[r, : len(b)] = b
-    hit, miss, gap, jump = (kind(x * k) for x in (1, -_MISS, _GAP, _JUMP))
     begin = lambda i: kind(k - 1 - i if where else 0)
     row = np.full((many, max(m + 1, _FAR)), begin(0), dtype=kind)
     m = row.shape[1] - 1
     text = np.pad(text, ((0, 0), (0, m - text.shape[1])))
-    spare = (np.empty_like(row), np.empty_like(row))
+    spare, new, plus, same = (np.empty_like(row), np.empty_like(row)), np.empty_like(row), np.empty_like(row[:, 1:]), np.empty(text.shape, bool)
     best, at = np.zeros(many, kind), np.zeros(many, np.int32)
+    # a wrong letter costs as much as a lost one, so both start from the row less this
+    less, jump, hit = kind(_MISS * k), kind((_JUMP + _MISS) * k), kind((1 + _MISS) * k)
     for i in range(1, n + 1):
         from_ = _slide(row, spare, _FAR)
+        np.subtract(row, less, out=new)
         from_ -= jump
-        np.maximum(from_, row, out=from_)
-        np.maximum(from_, begin(i - 1), out=from_)
-        new = row - gap
+        np.maximum(from_, new, out=from_)
+        np.equal(text, asked[:, i - 1 : i], out=same)
+        np.multiply(same, hit, out=plus)
+        plus += from_[:, :-1]
         new[:, 0] = begin(i)
-        from_ = from_[:, :-1] + np.where(text == asked[:, i - 1 : i], hit, miss)
-        np.maximum(new[:, 1:], from_, out=new[:, 1:])
-        new[:, 1:] = np.maximum(new[:, 1:], new[:, :-1] - gap)
-        row = np.maximum(new, begin(i), out=new)
+        np.maximum(new[:, 1:], plus, out=new[:, 1:])
+        np.subtract(new[:, :-1], less, out=plus)
+        np.maximum(new[:, 1:], plus, out=new[:, 1:])
+        np.maximum(new, begin(i), out=new)
+        row, new = new, row
         top = row.max(1)
         better = top // k > best // k
         best[better], at[better] = top[better], i
@@ -612,7 +643,7 @@ def search_shard(texts: list[str | None], blocks: Iterable[Items], words: int):
         return
     index = FmIndex(letters)
     for items in blocks:
-        found = [x for block in spans(index, items, letters, docs) for x in chains(*likely(*block, items), items, letters, words)]
+        found = [x for block in _gathered(likely(*block, items) for block in spans(index, items, letters, docs)) for x in chains(*block, items, letters, words)]
         best: dict[tuple[int, int], int] = {}
         placed: dict[tuple[int, int], list] = {}
         for doc, item, many, stretches in verify(found, items, letters, docs, docs + sizes - 1, words):
