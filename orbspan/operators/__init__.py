@@ -1,4 +1,4 @@
-from .balance import balanced_aggregate, balanced_join, balanced_map, plan_load
+from .balance import balanced_join, balanced_map, counts_with_total, partial_counts, plan_load
 from .cover import (
     coverage_offsets,
     cover_arrays,
@@ -12,9 +12,9 @@ from .near import near_pairs, points_in_footprints
 from .swath import cover_swath, swath_footprints
 
 __all__ = [
-    "balanced_aggregate",
     "balanced_join",
     "balanced_map",
+    "counts_with_total",
     "cover_arrays",
     "cover_counts",
     "cover_footprint",
@@ -23,6 +23,7 @@ __all__ = [
     "cover_swath",
     "coverage_offsets",
     "near_pairs",
+    "partial_counts",
     "plan_load",
     "points_in_footprints",
     "swath_footprints",

@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,9 +112,10 @@ def assign(df: DataFrame, plan: LoadPlan, salt: str = "rows") -> DataFrame:
 
     ``salt="rows"`` spreads by the row's content, which a lost and repeated task
     reproduces whatever came before.  ``salt="position"`` also spreads identical
-    rows, for input that is read from files.
+    rows, for input that is read from files.  Any other salt is the name of a column
+    whose values stay together, as those of partial counts have to.
     """
-    by = F.monotonically_increasing_id() if salt == "position" else F.xxhash64(*df.columns)
+    by = F.monotonically_increasing_id() if salt == "position" else F.xxhash64(*(df.columns if salt == "rows" else [salt]))
     df = _with_shards(df.withColumn("__salt", by), plan)
     pick = F.element_at("__shards", (F.pmod(F.xxhash64("__salt"), F.size("__shards")) + 1).cast("int"))
     return df.withColumn("__task", F.coalesce(pick, _slot(plan))).drop("__salt", "__shards")
@@ -153,7 +156,46 @@ def balanced_map(df: DataFrame, keys: list[str], function, schema, plan: LoadPla
     return placed.groupBy("__task", *keys).applyInPandas(lambda pdf: function(pdf.drop(columns="__task")), schema)
 
 
-def balanced_aggregate(df: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
-    """Sums, counts, minima and the like: Spark combines them before the shuffle, which
-    leaves one row a map task of the largest key.  Nothing has to be planned."""
-    return df.groupBy(*keys).agg(*aggregates)
+def partial_counts(df: DataFrame, keys: list[str], rows: int = 1 << 17) -> DataFrame:
+    """(keys..., n): the number of rows of each key among every ``rows`` rows of a task, without a shuffle.
+
+    What is left of a key is at most one row for each ``rows`` rows, however many it has, so the
+    partial counts of the largest key can go to one place.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+
+        def counted():
+            table = pa.Table.from_batches(waiting).group_by(keys, use_threads=False).aggregate([([], "count_all")])
+            return table.select([*keys, "count_all"]).rename_columns([*keys, "n"]).to_batches()
+
+        for batch in batches:
+            waiting.append(batch)
+            size += batch.num_rows
+            if size >= rows:
+                yield from counted()
+                waiting, size = [], 0
+        if size:
+            yield from counted()
+
+    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("n", T.LongType())])
+    return df.select(*keys).mapInArrow(run, schema)
+
+
+def counts_with_total(records: DataFrame, scope: list[str], key: str, tasks: int | None = None) -> DataFrame:
+    """(scope..., key, n, total): sums of n by scope and key, each with the sum of its scope.
+
+    ``records`` has partial counts (scope..., key, n).  The scopes are the keys of a
+    fragment-replicate join with their totals: scopes are packed on tasks by the
+    number of their records, a scope above half a task's share is cut into shards
+    by its keys, and its total goes to the tasks of its shards only.  All partial
+    counts of a key are in one shard, so they are summed where they arrive.
+    """
+    records = records.select(*scope, key, "n")
+    plan = plan_load(records, scope, tasks)
+    placed = assign(records, plan, key).repartitionById(plan.tasks, "__task")
+    counts = placed.groupBy("__task", *scope, key).agg(F.sum("n").alias("n"))
+    totals = records.groupBy(*scope).agg(F.sum("n").alias("total"))
+    sent = replicate(totals, plan).repartitionById(plan.tasks, "__task")
+    return counts.join(sent, ["__task", *scope]).drop("__task")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
+from ..lineage import cut
 from ..operators import balance, cover, near, swath
 from ..sources.arrays import explode_batches, well_formed
 from . import sqltext as S
@@ -244,27 +245,37 @@ def p5_found(spark, sf_dir):
 def heavy_shares(coverage: DataFrame, batches: DataFrame) -> DataFrame:
     """Cells with at least a twentieth of a day's rows, footprints with half of a batch's entries.
 
-    Records per (scope, key) are counted with map-side combine, then joined with
-    their scope's total by fragment and replicate: the rows of a large scope are
-    split over tasks, its one total goes to those tasks only.  A batch without
-    entries has no case.  Null keys are no keys.
+    The rows of coverage become partial counts per (day, cell) where they are read;
+    these and the slices of the batches are the records.  Records are joined with
+    their scope's total by fragment and replicate: scopes are packed on tasks by
+    their records, large ones split in shards, and a total goes to the shards of
+    its scope only.  A batch without entries has no case.  Null keys are no keys.
     """
+    return heavy_records(share_records(coverage, batches))
+
+
+def share_records(coverage: DataFrame, batches: DataFrame) -> DataFrame:
+    """(kind, scope, key_id, n): kind 0 has partial counts of cells by day number, kind 1 entries of footprints by batch."""
     rows = coverage.where(F.col("covered_at").isNotNull() & C.is_cell_id("cell_id")).select(
-        F.to_date("covered_at").alias("day"), F.col("cell_id").alias("key_id")
+        F.unix_date(F.to_date("covered_at")).cast("bigint").alias("scope"), F.col("cell_id").alias("key_id")
     )
-    scope = F.col("day").cast("string").alias("scope")
+    cells = balance.partial_counts(rows, ["scope", "key_id"]).select(F.lit(0).alias("kind"), "scope", "key_id", "n")
     o = F.col("offsets")
     sizes = F.transform(F.sequence(F.lit(1), F.size(o) - 1), lambda k: F.get(o, k) - F.get(o, k - 1))
     slices = batches.where(well_formed() & F.col("batch_id").isNotNull() & (F.size("footprint_ids") > 0)).select(
-        F.col("batch_id").cast("string").alias("scope"), F.arrays_zip(F.col("footprint_ids").alias("key"), sizes.alias("n")).alias("s")
+        F.col("batch_id").alias("scope"), F.arrays_zip(F.col("footprint_ids").alias("key"), sizes.alias("n")).alias("s")
     )
     slices = slices.dropDuplicates(["scope"]).select("scope", F.explode("s").alias("s"))
-    entries = slices.select(F.lit("footprint").alias("kind"), "scope", F.col("s.key").alias("key_id"), F.col("s.n").alias("n"))
-    counts = balance.balanced_aggregate(rows, ["day", "key_id"], F.count("*").alias("n"))
-    records = counts.select(F.lit("cell").alias("kind"), scope, "key_id", "n").union(entries)
-    totals = rows.groupBy("day").agg(F.count("*").alias("total")).select(F.lit("cell").alias("kind"), scope, "total")
-    totals = totals.union(entries.groupBy("kind", "scope").agg(F.sum("n").alias("total")))
-    plan = balance.plan_load(rows.groupBy("day").agg(F.count("*").alias("n")).select(F.lit("cell").alias("kind"), scope, "n"), ["kind", "scope"], weight=F.col("n"))
-    joined = balance.balanced_join(records, totals, ["kind", "scope"], plan=plan)
-    share = F.when(F.col("kind") == "cell", 20).otherwise(2)
-    return joined.where((F.col("total") > 0) & (F.col("n") * share >= F.col("total")) & F.col("key_id").isNotNull()).select("kind", "scope", "key_id").distinct()
+    return cut(cells.union(slices.select(F.lit(1), "scope", F.col("s.key"), F.col("s.n"))))
+
+
+def heavy_records(records: DataFrame, tasks: int | None = None) -> DataFrame:
+    joined = balance.counts_with_total(records, ["kind", "scope"], "key_id", tasks)
+    enough = F.col("n") * F.when(F.col("kind") == 0, 20).otherwise(2) >= F.col("total")
+    found = joined.where((F.col("total") > 0) & enough & F.col("key_id").isNotNull())
+    day = F.date_from_unix_date(F.col("scope").cast("int")).cast("string")
+    return found.select(
+        F.when(F.col("kind") == 0, "cell").otherwise("footprint").alias("kind"),
+        F.when(F.col("kind") == 0, day).otherwise(F.col("scope").cast("string")).alias("scope"),
+        "key_id",
+    )

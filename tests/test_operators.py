@@ -187,6 +187,40 @@ def test_balanced_join_and_map(spark):
     assert op.balanced_join(none, right, ["k"]).count() == 0 and op.plan_load(none, ["k"]).heavy == []
 
 
+def test_counts_with_total_keep_tasks_even(spark):
+    from orbspan.operators import balance
+    from orbspan.plans.core import heavy_records
+
+    # one scope of each kind has a third of the records, and one key a tenth of the rows
+    n = F.col("id")
+    scope = F.when(n % 3 == 0, 7).otherwise(n % 211)
+    key = F.when(n % 10 == 0, 5).when(n % 97 == 0, None).otherwise(n % 20_011)
+    rows_ = spark.range(0, 60_000, 1, 6).select((n % 2).cast("int").alias("kind"), scope.alias("scope"), key.alias("key_id"))
+    partial = op.partial_counts(rows_, ["kind", "scope", "key_id"], rows=4000)
+    assert partial.agg(F.sum("n")).first()[0] == 60_000 and partial.where("kind = 0 and scope = 7 and key_id = 5").count() <= 6 * 3
+    plan = balance.plan_load(partial, ["kind", "scope"], 16)
+    assert any(len(h[2]) > 2 for h in plan.heavy)
+    placed = balance.assign(partial, plan, "key_id").repartitionById(plan.tasks, "__task")
+    real = [r[1] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(real) == 16 and max(real) < 2 * sorted(real)[8] and max(plan.loads) < 2 * sorted(plan.loads)[8]
+    totals = partial.groupBy("kind", "scope").agg(F.sum("n").alias("total"))
+    copies = balance.replicate(totals, plan).groupBy("kind", "scope").count().collect()
+    wide = {tuple(h[:2]): len(set(h[2])) for h in plan.heavy}
+    assert all(r["count"] == wide.get((r["kind"], r["scope"]), 1) for r in copies)
+    want = rows_.groupBy("kind", "scope", "key_id").count().join(rows_.groupBy("kind", "scope").agg(F.count("*").alias("total")), ["kind", "scope"])
+    got = op.counts_with_total(partial, ["kind", "scope"], "key_id", 16)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    assert heavy_records(partial.limit(0), 16).count() == 0
+
+
+def test_lineage_is_cut_in_the_shared_folder(spark, monkeypatch):
+    from orbspan import lineage
+
+    d = lineage.cut(spark.range(5).withColumn("x", F.array(F.lit(1), F.lit(None))))
+    assert sorted(map(str, d.collect())) == sorted(map(str, spark.range(5).withColumn("x", F.array(F.lit(1), F.lit(None))).collect()))
+    assert all(f.startswith(("file:" + lineage.shared_folder(spark), "file://" + lineage.shared_folder(spark))) for f in d.inputFiles())
+
+
 def test_near_against_brute_force(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(700, 3))
