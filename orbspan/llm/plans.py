@@ -96,8 +96,7 @@ marks AS (SELECT cell_id, CAST(n AS BIGINT) AS n, CAST(r AS BIGINT) AS footprint
 
 def _terms(spark, sf_dir):
     rows = read(spark, sf_dir, "coverage").where(is_cell_id("cell_id") & F.col("footprint_id").isNotNull())
-    records = rows.select("footprint_id").distinct().count()
-    return terms.marked(terms.term_counts(rows, "cell_id", "footprint_id"), records).withColumnRenamed("term", "cell_id")
+    return terms.marked_counts(rows, "cell_id", "footprint_id").withColumnRenamed("term", "cell_id")
 
 
 @query(f"WITH {_TERMS} SELECT cell_id, mark FROM marks WHERE mark IS NOT NULL")

@@ -123,12 +123,28 @@ def test_term_counts_against_brute_force(spark):
     assert marks[1] == "common" and marks[77_777_777] == "rare"
 
 
+def test_term_counts_of_words_far_record_numbers_and_small_chunks(spark, monkeypatch):
+    monkeypatch.setattr(terms, "CHUNK", 1000)
+    d = skewed(spark, 12_000).select("x", (F.rand(4) * 60).cast("int").alias("r")).where("x is not null")
+    d = spark.createDataFrame(d.collect(), d.schema)
+    far = (F.col("r") - 30).cast("bigint") * F.lit(1 << 56)
+    for record in (far, F.col("r").cast("string"), F.when(F.col("r") > 3, F.col("r")).cast("double")):
+        e = d.select(F.concat(F.lit("t"), F.col("x")).alias("term"), record.alias("record"), F.lit(0).alias("kind"))
+        want = e.groupBy("term").agg(F.count("*"), F.countDistinct("record"))
+        counts, total = terms.count_table(e, "term", "record")
+        assert rows(counts) == rows(want) and total.first()[0] == e.select("record").dropna().distinct().count()
+    marks = terms.marked_counts(e, "term", "record")
+    assert marks.where("term = 't1' and mark = 'common'").count() == 1
+
+
 # 7: overlaps
 
 
-@pytest.mark.parametrize("long", [1, 3, 64])
-def test_overlaps_against_brute_force(spark, monkeypatch, long):
+@pytest.mark.parametrize("long, split, most", [(1, 3, 500_000), (3, 1024, 0), (64, 1024, 500_000)])
+def test_overlaps_against_brute_force(spark, monkeypatch, long, split, most):
     monkeypatch.setattr(overlaps, "LONG", long)
+    monkeypatch.setattr(overlaps, "SPLIT", split)
+    monkeypatch.setattr(overlaps, "MOST_BROADCAST", most)
     rng = random.Random(long)
     sets = {k: {int(40 * rng.random() ** 2) for _ in range(rng.randrange(1, 9))} for k in range(40)}
     sets[40] = sets[3] | {100, 101}
