@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import is_cell_id
+from ..lineage import cut
 from ..plans import sqltext as S
 from ..sources.arrays import batch_slices, well_formed_batches
 from . import frequent, overlaps, simpairs, sparse, terms
@@ -116,7 +117,7 @@ done AS (SELECT a AS batch_a, b AS batch_b, CAST(o AS BIGINT) AS common, least(z
 
 def _batch_overlaps(spark, sf_dir, share):
     once = well_formed_batches(read(spark, sf_dir, "coverage_batches")).where(F.size("footprint_ids") > 0)
-    cells = once.select(F.col("batch_id").alias("set_id"), F.explode(F.array_distinct("cell_ids")).alias("item"))
+    cells = cut(once.select("batch_id", "cell_ids")).select(F.col("batch_id").alias("set_id"), F.explode(F.array_distinct("cell_ids")).alias("item"))
     return overlaps.overlaps(cells.where(is_cell_id("item")), share, unique=True)
 
 
