@@ -1,16 +1,18 @@
 """All pairs of similar sets.
 
-Exact copies are collapsed to one class first.  A class keeps the rarest items of
-its set that a pair above the threshold must share one of (its prefix); classes
-meet on these items only, so common items make no pairs.  Each meeting carries a
-packed code of SKETCH one-bit minhashes and must pass a Hamming radius that is
-calibrated to the threshold: with SIGMAS standard deviations a true pair is lost
-with a probability below 1e-10.  What passes is verified on the original sets.
+Exact copies are collapsed to one class first.  Items that one class alone has meet
+nothing; a class keeps the others, and only if they are enough for a pair above the
+threshold.  Such a class has a packed code of SKETCH one-bit minhashes of what it
+keeps, and is listed under the rarest of these items, one of which any partner has
+(its prefix); so common items make no pairs.  What meets must have sizes that fit
+and codes within a Hamming radius that is calibrated to the threshold: with SIGMAS
+standard deviations a true pair is lost with a probability below 1e-10.  What passes
+is verified on the sets.
 
 The prefix join takes the place of joining segments of the codes by pigeonhole:
-bits of sets with similarity 0.5 agree with probability 0.75, so segments long
-enough to tell sets apart (16 bits) agree in one of a hundred true pairs, and 690
-of them would be needed for a recall of 0.999.  The prefix join loses nothing.
+bits of sets with similarity 0.5 agree with probability 0.75, so a segment of 16
+bits agrees within one bit in 6 of 100 pairs, and 16 of them still lose one pair in
+a hundred (figures in the README).  The prefix join loses nothing.
 """
 
 from __future__ import annotations
@@ -20,13 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
+from .overlaps import sent_if_small
 
 SKETCH = 256
 SIGMAS = 6.5
+#: Sets that meet under one item, or copies of one set, in one place.
+SPLIT = 1024
 _WORDS = SKETCH // 64
 _BLOCK = 1 << 18
 
@@ -96,27 +101,36 @@ def classes(sets: DataFrame, key: str, items: str) -> DataFrame:
 
 def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, common, size_a, size_b) of sets (id, items) that are all different, a < b."""
-    near = radius(threshold)
-    sized = sets.withColumn("n", F.size("items"))
-    member = sized.select("id", "n", F.explode("items").alias("item"))
-    held = member.groupBy("item").agg(F.count("*").alias("held")).where("held > 1")
-    # an item that one set alone has meets nothing; such items are the rarest, so they take the first places
-    shared = cut(member.join(held, "item"))
-    alone = F.col("n") - F.count("*").over(Window.partitionBy("id"))
-    ranked = shared.withColumn("rank", alone + F.row_number().over(Window.partitionBy("id").orderBy("held", "item")))
-    prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * (threshold - 1e-9)) + 1)
-    carried = cut(prefix.select("id", "n", "item").join(sketches(sets, "id", "items"), "id"))
-    a, b = carried.alias("a"), carried.alias("b")
+    near, least = radius(threshold), F.ceil(F.col("n") * (threshold - 1e-9))
+    member = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
+    held = cut(member.groupBy("item").agg(F.count("*").alias("held")).where("held > 1"))
+    kept = member.join(sent_if_small(held), "item").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("held", "item"))).alias("kept"))
+    able = cut(kept.where(F.size("kept") >= least).select("id", "n", F.col("kept.item").alias("items"), F.slice("kept", 1, (F.size("kept") - least + 1).cast("int")).alias("prefix")))
+    coded = able.select("id", "n", "prefix").join(sketches(able, "id", "items"), "id").select("*", F.explode("prefix").alias("p"))
+    coded = cut(coded.select("id", "n", "p.item", ((F.col("p.held") - 1) / SPLIT).cast("int").alias("last"), *(f"c{w}" for w in range(_WORDS))))
+    # the holders of an item meet in parts of SPLIT: one side goes to all parts, the other is spread over them
+    a = coded.withColumn("part", F.explode(F.sequence(F.lit(0), "last"))).alias("a")
+    b = coded.withColumn("part", F.pmod(F.xxhash64("id"), F.col("last") + 1).cast("int")).alias("b")
     fits = (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * (threshold - 1e-9))
-    met = a.join(b, (F.col("a.item") == F.col("b.item")) & fits & (hamming("a", "b") <= near))
+    met = a.join(b, (F.col("a.item") == F.col("b.item")) & (F.col("a.part") == F.col("b.part")) & fits & (hamming("a", "b") <= near))
     pairs = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("size_a"), F.col("b.n").alias("size_b")).distinct()
-    # what two sets have in common is among the shared items, so only these are fetched
-    lists = shared.groupBy("id").agg(F.collect_list("item").alias("x"))
-    left, right = lists.withColumnRenamed("id", "a"), lists.select(F.col("id").alias("b"), F.col("x").alias("y"))
+    # what two sets have in common is among the items they keep
+    left, right = able.select(F.col("id").alias("a"), F.col("items").alias("x")), able.select(F.col("id").alias("b"), F.col("items").alias("y"))
     checked = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), "size_a", "size_b")
     return checked.where(F.col("common") >= threshold * (F.col("size_a") + F.col("size_b") - F.col("common")) - 1e-9)
 
 
+def similar_sets(named: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((a, b, common, size_a, size_b), (id, class)): links between representatives of equal sets, and who each stands for.
+
+    ``named`` is (id, items), clean: different ids, sorted different items, no empty sets.  A
+    representative is the smallest id of its set, so copies take no more than a row each.
+    """
+    owner = cut(classes(named, "id", "items"))
+    reps = named.join(owner.where("id = class").select("id"), "id", "left_semi")
+    return similar_classes(reps, threshold), owner
+
+
 def similar_pairs(sets: DataFrame, threshold: float, key: str = "id", items: str = "items", other: DataFrame | None = None) -> DataFrame:
     """(id_a, id_b): pairs of keys whose sets have a Jaccard similarity of at least ``threshold``.
 
@@ -138,13 +152,15 @@ def similar_pairs(sets: DataFrame, threshold: float, key: str = "id", items: str
     else:
         # keys of both tables go into one space: even ids on the left, odd on the right
         named = clean(sets).withColumn("id", F.col("id") * 2).union(clean(other).withColumn("id", F.col("id") * 2 + 1))
-    named = cut(named)
-    owner = cut(classes(named, "id", "items"))
-    reps = named.join(owner.where("id = class").select("id"), "id", "left_semi")
-    links = similar_classes(reps, threshold).select("a", "b")
+    links, owner = similar_sets(cut(named), threshold)
     x, y = owner.select(F.col("id").alias("id1"), F.col("class").alias("a")), owner.select(F.col("id").alias("id2"), F.col("class").alias("b"))
-    apart = links.join(x, "a").join(y, "b").select("id1", "id2")
-    same = x.join(y, F.col("a") == F.col("b")).where("id1 < id2").select("id1", "id2")
+    apart = links.select("a", "b").join(x, "a").join(y, "b").select("id1", "id2")
+    # all pairs of copies are asked for: the copies of one set are split over tasks by their number
+    many = owner.groupBy("class").agg(F.count("*").alias("n")).where("n > 1")
+    copies = owner.join(many, "class").withColumn("last", ((F.col("n") - 1) / SPLIT).cast("int"))
+    c = copies.select("class", F.col("id").alias("id1"), F.explode(F.sequence(F.lit(0), "last")).alias("part"))
+    d = copies.select("class", F.col("id").alias("id2"), F.pmod(F.xxhash64("id"), F.col("last") + 1).cast("int").alias("part"))
+    same = c.join(d, ["class", "part"]).where("id1 < id2").select("id1", "id2")
     out = apart.union(same)
     low, high = F.least("id1", "id2"), F.greatest("id1", "id2")
     if other is None:

@@ -33,8 +33,9 @@ def table(spark, sets):
     return spark.createDataFrame(data, "id bigint, items array<bigint>, n string")
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
-def test_pairs_against_brute_force(spark, threshold):
+@pytest.mark.parametrize("threshold, split", [(0.3, 2), (0.5, 1024), (0.8, 2), (1.0, 1024)])
+def test_pairs_against_brute_force(spark, monkeypatch, threshold, split):
+    monkeypatch.setattr(simpairs, "SPLIT", split)
     sets = families(1)
     clean = {k: set(v) for k, v in sets.items() if v}
     want = sorted((a, b) for a in clean for b in clean if a < b and jaccard(clean[a], clean[b]) >= threshold)
@@ -48,6 +49,14 @@ def test_pairs_between_tables(spark):
     assert rows(simpairs.similar_pairs(table(spark, left), 0.5, other=table(spark, right))) == want
 
 
+def test_links_of_representatives_and_membership(spark):
+    sets = {1: [1, 2, 3], 2: [1, 2, 3], 3: [1, 2, 3], 4: [1, 2, 3, 4], 5: [9], 6: [9]}
+    named = spark.createDataFrame(list(sets.items()), "id bigint, items array<bigint>")
+    links, owner = simpairs.similar_sets(named, 0.5)
+    assert rows(links) == [(1, 4, 3, 3, 4)]
+    assert rows(owner) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5)]
+
+
 def test_edges(spark):
     empty = table(spark, {}).where("id is not null")
     assert rows(simpairs.similar_pairs(empty, 0.5)) == []
