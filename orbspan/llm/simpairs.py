@@ -127,7 +127,8 @@ def similar_sets(named: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
     representative is the smallest id of its set, so copies take no more than a row each.
     """
     owner = cut(classes(named, "id", "items"))
-    reps = named.join(owner.where("id = class").select("id"), "id", "left_semi")
+    copies = sent_if_small(owner.where("id <> class").select("id"))
+    reps = named.join(copies, "id", "left_anti")
     return similar_classes(reps, threshold), owner
 
 
