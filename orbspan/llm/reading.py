@@ -1,20 +1,28 @@
 """Reading grade of scanned English pages.
 
-A sentence is classified by a regularised softmax over its words, their letter
-trigrams and its length; the weights of a word and its trigrams are summed once
-per different word, so a page costs a lookup a word.  Sentences are words between
-full stops; pages with columns run together keep the number of words per stop.
-A page's grade is the mean of its sentences' log probabilities, weighted by their
-words, after a calibration of each grade's offset on damaged copies of held-out
-passages.
-
-Not counted: lines of capitals, adverts (by their set phrases), tokens without
-letters.  Words broken at line ends are joined.  A page is graded if it has at
-least LEAST words and English function words outnumber German and French ones.
-Null, empty and short texts get no row.
+All models are fitted on the graded passages; nothing is a list of words or phrases.
+
+- Lines: letter trigrams of the passages, broken into lines and damaged as scans are,
+  give each line of a page a score, less the score that passages have on average and
+  in standard deviations of a line of its length.  Headings and adverts (capitals,
+  prices, names without sentences) lie FAR below and are left out.
+- Language: the mean score of a page's trigrams of small letters.  A page is English
+  above BORDER of the way from damaged passages down to passages with shuffled letters.
+- Grade: a sentence is classified by a regularised softmax over its words, their letter
+  trigrams and its length; the weights of a word and its trigrams are summed once
+  per different word, so a page costs a lookup a word.  Sentences are words between
+  full stops; pages with columns run together keep the number of words per stop.
+  A page's grade is the mean of its sentences' log probabilities, weighted by their
+  words, after a calibration of each grade's offset on damaged copies of held-out
+  passages.
+
+Words broken at line ends are joined; tokens without letters don't count.  A page is
+graded if it has at least LEAST words and is English.  Null, empty and short texts
+get no row.
 
 The model is fitted on the driver on at most MOST_SAMPLES passages (the first by
-id); the corpus is never sampled.
+id); the corpus is never sampled.  A sentence is kept as its words, and a step of the
+fit takes at most STEP sentences, so the fit takes about 0.5 GB at MOST_SAMPLES.
 """
 
 from __future__ import annotations
@@ -32,35 +40,135 @@ LEAST = 50
 #: Damaged letters in the copies that the model is fitted and calibrated on.
 RATE = 0.02
 MOST_SAMPLES = 20_000
+#: Sentences of a step of the fit.
+STEP = 1 << 14
 GRADES = 4
 TRIGRAMS = 1024
 _LENGTHS = (0, 4, 6, 8, 10, 13, 16, 20, 25, 31, 38, 46, 60)
+#: Standard deviations below the passages from which a line is no text of an article; share of the way to shuffled letters that is no English.
+FAR, BORDER = -4.0, 0.22
 
-# Frequent words that tell the three languages of the pages apart.
-ENGLISH = frozenset("the of and was by there no that this at in near past a an with were said every from on behind".split())
-GERMAN = frozenset("der die das und ein eine einen den dem nicht ist war mit auf im am zu von trotz vor für denn weil obwohl".split())
-FRENCH = frozenset("le la les un une et du des au aux que est dans il elle pour sur mais car quand tandis parce de".split())
-
-_ADVERT = re.compile(
-    r"(?:\bWANTED\b|\bLOST,|\bTRY [A-Z]|\bASK FOR\b|\*\*\*|\bOf all grocers|\b& Sons\b|\bthis office\b|\bwarehouse\. Apply\b|\bReward *at\b|\bpost free\b|\bper tin\b|\bthe pair\b|£\d|\b\d+s\.|\b\d+d\.|^PAGE \d)",
-)
 _BREAK = re.compile(r"(?<=\w)[-¬\xad=~]\s*\n\s*(?=[a-z])")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?]")
+_GAP = re.compile(r"[ \t|]{2,}")
 _STOPS = frozenset(".!?")
 
+_SMALL = "abcdefghijklmnopqrstuvwxyz"
+_SYMBOLS = 37
+_SPACE, _OTHER, _END = 28, 35, 36
+
+
+def _symbol_table() -> bytes:
+    """Small letters, one symbol for capitals, one for digits, space, some marks, all else, line end."""
+    table = bytearray([_OTHER] * 256)
+    for k, group in enumerate([*_SMALL, _SMALL.upper(), "0123456789", " \t", ".", ",", ";", "-", "'", "!"]):
+        for c in group:
+            table[ord(c)] = k
+    table[ord("\n")] = _END
+    return bytes(table)
+
+
+_TABLE = _symbol_table()
+
+
+class Lines:
+    """Letter trigrams of passages: which lines are text like theirs, which pages are in their language."""
+
+    def __init__(self, passages: list[str], seed: int = 7):
+        rng = np.random.default_rng(seed)
+        self.score = self._count(passages[1::2] or passages, rng)
+        held = passages[::2]
+        worn = [_lines(_worn(t, RATE, rng), int(rng.integers(24, 60))) for t in held]
+        total, size = self.lines([x for page in worn for x in page])
+        many = np.maximum(1, size)
+        self.mean = float(total.sum() / max(1, size.sum()))
+        self.deviation = float(np.std((total / many - self.mean) * np.sqrt(many))) if len(total) else 1.0
+        english = np.mean([self.page("\n".join(x)) for x in worn]) if worn else 0.0
+        shuffled = np.mean([self.page("".join(rng.permutation(list(t)))) for t in held if t]) if worn else 0.0
+        self.border = float(english + BORDER * (shuffled - english))
+
+    def _count(self, passages: list[str], rng) -> np.ndarray:
+        """Log probability of each trigram given its first two symbols, smoothed by shorter ones."""
+        k = _SYMBOLS
+        three = np.zeros(k**3)
+        for t in passages:
+            for text in (t, _worn(t, RATE, rng)):
+                three += np.bincount(self._trigrams("\n" + "\n".join(_lines(text, int(rng.integers(24, 60)))) + "\n"), minlength=k**3)
+        three = three.reshape(k, k, k)
+        two = three.sum(0)
+        one = (two.sum(0) + 0.5) / (two.sum() + 0.5 * k)
+        two = (two + 2 * one) / (two.sum(1, keepdims=True) + 2)
+        three = (three + 2 * two) / (three.sum(2, keepdims=True) + 2)
+        return np.log(three).reshape(-1).astype(np.float32)
+
+    @staticmethod
+    def _trigrams(text: str) -> np.ndarray:
+        c = np.frombuffer(text.encode("ascii", "replace").translate(_TABLE), np.uint8).astype(np.int32)
+        return (c[:-2] * _SYMBOLS + c[1:-1]) * _SYMBOLS + c[2:] if len(c) > 2 else np.empty(0, np.int32)
+
+    def lines(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of the scores of its trigrams, their number) for each line."""
+        if not lines:
+            return np.empty(0), np.empty(0, np.int64)
+        k = self._trigrams("\n" + "\n".join(lines) + "\n\n")
+        size = np.fromiter(map(len, lines), np.int64, len(lines))
+        start = np.cumsum(size + 1) - (size + 1)
+        return np.add.reduceat(self.score[k], start).astype(np.float64), size
+
+    def page(self, text: str) -> float:
+        """Mean score of the trigrams of small letters and spaces."""
+        k = self._trigrams(text)
+        k = k[_PLAIN[k]]
+        return float(self.score[k].mean()) if len(k) else -np.inf
+
+    def articles(self, texts: list[str]) -> list[str | None]:
+        """Each text without the lines that are no text of an article, null where it is not English."""
+        # the gaps between columns that are run together are no letters
+        texts = [_GAP.sub(" ", t.replace("\r", "")) for t in texts]
+        pages = [t.split("\n") for t in texts]
+        total, size = self.lines([x for page in pages for x in page])
+        good = (total - self.mean * size) >= FAR * self.deviation * np.sqrt(size)
+        out, at = [], 0
+        for text, page in zip(texts, pages):
+            keep = good[at : at + len(page)].tolist()
+            at += len(page)
+            out.append("\n".join(x for x, k in zip(page, keep) if k) if self.page(text) >= self.border else None)
+        return out
+
+
+def _plain() -> np.ndarray:
+    one = np.zeros(_SYMBOLS, bool)
+    one[: len(_SMALL)] = one[_SPACE] = True
+    return (one[:, None, None] & one[:, None] & one).reshape(-1)
+
+
+_PLAIN = _plain()
+
+
+def _lines(text: str, wide: int) -> list[str]:
+    """The text in lines of about ``wide`` characters."""
+    out, now = [], ""
+    for w in text.split():
+        if now and len(now) + len(w) >= wide:
+            out.append(now)
+            now = w
+        else:
+            now = f"{now} {w}" if now else w
+    return [*out, now] if now else out
 
-def tokens(text: str) -> list[str]:
-    """Lower-case words and full stops of a page without adverts and headings."""
-    lines = []
-    for line in text.replace("\r", "").split("\n"):
-        if not (line.isupper() or _ADVERT.search(line)):
-            lines.append(line)
-    return _TOKEN.findall(_BREAK.sub("", "\n".join(lines)).lower())
 
+def _worn(text: str, rate: float, rng) -> str:
+    """The text with letters replaced, lost and split off."""
+    letters = list(text)
+    for k in np.flatnonzero(rng.random(len(letters)) < rate).tolist():
+        kind = rng.random()
+        letters[k] = "eocnitlr~.^"[int(rng.integers(11))] if kind < 0.7 else "" if kind < 0.9 else letters[k] + " "
+    return "".join(letters)
 
-def is_english(words: list[str]) -> bool:
-    english, other = (sum(w in s for w in words) for s in (ENGLISH, GERMAN | FRENCH))
-    return english > 2 * other and english * 20 >= len(words)
+
+def tokens(text: str) -> list[str]:
+    """Lower-case words and full stops, words broken at line ends joined."""
+    return _TOKEN.findall(_BREAK.sub("", text.replace("\r", "")).lower())
 
 
 def damaged(words: list[str], rate: float, rng) -> list[str]:
@@ -115,19 +223,18 @@ def _trigrams(word: str) -> np.ndarray:
 class Model:
     """Weights by word, trigram and length; ``offset`` is the calibration of the grades."""
 
-    def __init__(self, vocabulary: dict[str, int], weights: np.ndarray, offset: np.ndarray):
-        self.vocabulary, self.weights, self.offset = vocabulary, weights, offset
+    def __init__(self, vocabulary: dict[str, int], weights: np.ndarray, offset: np.ndarray, text: Lines | None = None):
+        self.vocabulary, self.weights, self.offset, self.text = vocabulary, weights, offset, text
         self.known: dict[str, int] = {}
         self.vectors = np.zeros((0, GRADES))
-        self.rows: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def __getstate__(self):
-        return {"vocabulary": self.vocabulary, "weights": self.weights, "offset": self.offset}
+        return {"vocabulary": self.vocabulary, "weights": self.weights, "offset": self.offset, "text": self.text}
 
     def __setstate__(self, state):
         self.__init__(**state)
 
-    def _columns(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+    def columns(self, word: str) -> tuple[np.ndarray, np.ndarray]:
         """Columns of a word and their values."""
         grams = _trigrams(word)
         at = self.vocabulary.get(word)
@@ -144,20 +251,11 @@ class Model:
         if new:
             rows = np.empty((len(new), GRADES))
             for k, w in enumerate(new):
-                columns, values = self._columns(w)
+                columns, values = self.columns(w)
                 rows[k] = values @ self.weights[columns]
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
             self.vectors = np.concatenate([self.vectors, rows])
 
-    def row(self, sentence: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Columns and values of a sentence: length, constant, mean of its words."""
-        for w in sentence:
-            if w not in self.rows:
-                self.rows[w] = self._columns(w)
-        parts = [self.rows[w] for w in sentence]
-        columns = np.concatenate([[np.searchsorted(_LENGTHS, len(sentence), "right") - 1, len(_LENGTHS)], *(p[0] for p in parts)]).astype(np.int64)
-        return columns, np.concatenate([[1.0, 1.0], *(p[1] / len(sentence) ** 0.5 for p in parts)])
-
     def pages(self, pages: list[list[str]]) -> np.ndarray:
         """(pages, grades) mean log probability, words as weights, before the offset."""
         lists = [sentences(p) for p in pages]
@@ -179,29 +277,67 @@ class Model:
         return (self.pages(pages) + self.offset).argmax(1) + 1
 
 
-def _softmax_fit(columns: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, width: int, penalty: float, steps: int = 120) -> np.ndarray:
-    """Multinomial logistic regression with an L2 penalty, by Adam over all rows."""
-    used, where = np.unique(np.concatenate(columns), return_inverse=True)
-    x = np.zeros((len(columns), len(used)), dtype=np.float32)
-    np.add.at(x, (np.repeat(np.arange(len(columns)), [len(c) for c in columns]), where), np.concatenate(values))
-    y = np.eye(GRADES, dtype=np.float32)[labels]
-    w = np.zeros((len(used), GRADES), dtype=np.float32)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):
-        z = x @ w
+class _Sentences:
+    """Sentences as numbers of words; a word's features are held once, whatever the number of sentences."""
+
+    def __init__(self, model: Model, sentences_: list[list[str]], labels: list[int]):
+        words = sorted({w for s in sentences_ for w in s})
+        number = dict(zip(words, range(len(words))))
+        self.words = np.fromiter((number[w] for s in sentences_ for w in s), np.int32)
+        self.sizes = np.array([len(s) for s in sentences_], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.labels = np.array(labels, dtype=np.int64)
+        self.many, self.width = len(words), len(model.weights)
+        parts = [model.columns(w) for w in words]
+        self.columns = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int64)
+        self.values = np.concatenate([p[1] for p in parts]) if parts else np.empty(0)
+        self.owner = np.repeat(np.arange(len(words)), [len(p[0]) for p in parts])
+        self.first = np.cumsum([0, *(len(p[0]) for p in parts)])[:-1]
+
+    def gradient(self, w: np.ndarray, part: slice) -> np.ndarray:
+        """Gradient of the mean loss of some sentences: length, constant and the mean of the words, scaled by the root of their number."""
+        sizes, labels = self.sizes[part], self.labels[part]
+        begin = int(self.starts[part][0])
+        words = self.words[begin : begin + int(sizes.sum())]
+        starts, scale = np.cumsum(sizes) - sizes, 1.0 / np.sqrt(sizes)
+        length = np.searchsorted(_LENGTHS, sizes, "right") - 1
+        vectors = np.add.reduceat(self.values[:, None] * w[self.columns], self.first)
+        z = np.add.reduceat(vectors[words], starts) * scale[:, None] + w[length] + w[len(_LENGTHS)]
         z = np.exp(z - z.max(1, keepdims=True))
-        g = x.T @ (z / z.sum(1, keepdims=True) - y) / len(x) + penalty * w
+        z /= z.sum(1, keepdims=True)
+        z[np.arange(len(z)), labels] -= 1.0
+        z /= len(z)
+        out = np.zeros((self.width, GRADES))
+        np.add.at(out, length, z)
+        out[len(_LENGTHS)] += z.sum(0)
+        each = np.repeat(z * scale[:, None], sizes, axis=0)
+        for k in range(GRADES):
+            by_word = np.bincount(words, weights=each[:, k], minlength=self.many)
+            out[:, k] += np.bincount(self.columns, weights=self.values * by_word[self.owner], minlength=self.width)
+        return out
+
+
+def _softmax_fit(data: _Sentences, penalty: float, steps: int = 120) -> np.ndarray:
+    """Multinomial logistic regression with an L2 penalty, by Adam over all sentences, or over STEP of them in turn."""
+    w = np.zeros((data.width, GRADES))
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    blocks = max(1, -(-len(data.labels) // STEP))
+    order = [slice(len(data.labels) * k // blocks, len(data.labels) * (k + 1) // blocks) for k in range(blocks)]
+    for t in range(1, max(steps, 4 * blocks) + 1):
+        if not len(data.labels):
+            break
+        g = data.gradient(w, order[t % blocks]) + penalty * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    out = np.zeros((width, GRADES))
-    out[used] = w
-    return out
+    return w
 
 
 def fit(samples: list[tuple[str, int]], penalty: float = 1e-4, seed: int = 7) -> Model:
     """Model from (text, grade) passages; each is used clean and damaged."""
     rng = np.random.default_rng(seed)
-    pages = [(tokens(t), g - 1) for t, g in samples if t and g in range(1, GRADES + 1)]
+    known = [(t, g - 1) for t, g in samples if t and g in range(1, GRADES + 1)]
+    text = Lines([t for t, _ in known], seed)
+    pages = [(tokens(t), g) for t, g in known]
     pages.sort(key=lambda x: x[1])  # so that every fold has every grade
     words = sorted({w for p, _ in pages for w in p if w not in _STOPS})
     counted: dict[str, int] = {}
@@ -213,15 +349,14 @@ def fit(samples: list[tuple[str, int]], penalty: float = 1e-4, seed: int = 7) ->
     empty = Model(vocabulary, np.zeros((width, GRADES)), np.zeros(GRADES))
 
     def train(part):
-        columns, values, labels = [], [], []
+        found, labels = [], []
         for grade in range(GRADES):
             for pages_ in copies([p for p, g in part if g == grade], rng):
                 for s in (s for p in pages_ for s in sentences(p)):
-                    c, v = empty.row(s)
-                    columns.append(c)
-                    values.append(v)
+                    found.append(s)
                     labels.append(grade)
-        return _softmax_fit(columns, values, np.array(labels), width, penalty)
+        order = rng.permutation(len(found))
+        return _softmax_fit(_Sentences(empty, [found[k] for k in order], [labels[k] for k in order]), penalty)
 
     # offsets from passages that the weights have not seen
     folds, held = 2, []
@@ -236,7 +371,7 @@ def fit(samples: list[tuple[str, int]], penalty: float = 1e-4, seed: int = 7) ->
         z = np.exp(10 * (scores + offset - (scores + offset).max(1, keepdims=True)))
         z /= z.sum(1, keepdims=True)
         offset -= 0.05 * (z.mean(0) - np.bincount(truth, minlength=GRADES) / len(truth))
-    return Model(vocabulary, train(pages), offset)
+    return Model(vocabulary, train(pages), offset, text)
 
 
 def reading_grades(docs: DataFrame, samples: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -248,14 +383,10 @@ def reading_grades(docs: DataFrame, samples: DataFrame, key: str = "doc_id", tex
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo in range(0, len(texts), 2000):
-                who, pages = [], []
-                for k in range(lo, min(len(texts), lo + 2000)):
-                    t = texts[k]
-                    if t and len(t.split()) >= LEAST:
-                        words = tokens(t)
-                        if is_english(words):
-                            who.append(k)
-                            pages.append(words)
+                long = [k for k in range(lo, min(len(texts), lo + 2000)) if texts[k] and len(texts[k].split()) >= LEAST]
+                articles = model.text.articles([texts[k] for k in long])
+                who = [k for k, t in zip(long, articles) if t is not None]
+                pages = [tokens(t) for t in articles if t is not None]
                 if who:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(model.grades(pages), pa.int64())], [key, "grade"])
 
