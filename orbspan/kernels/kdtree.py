@@ -6,10 +6,10 @@ import numpy as np
 
 
 class Cuts:
-    """A complete k-d tree of ``2**depth`` leaves, as arrays of axes and cuts (heap order)."""
+    """A complete k-d tree of ``2**depth`` leaves, as arrays of axes and cuts (heap order), for a number of points."""
 
-    def __init__(self, sample: np.ndarray, depth: int):
-        self.depth = depth
+    def __init__(self, sample: np.ndarray, depth: int, points: int | None = None):
+        self.depth, self.points = depth, len(sample) if points is None else points
         self.axis = np.zeros((1 << depth) - 1, dtype=np.int8)
         self.cut = np.zeros((1 << depth) - 1)
         self._fill(sample, 0)
@@ -81,8 +81,9 @@ class LocalTree:
     def within(self, queries: np.ndarray, chord: float, block: int = 1 << 16):
         """Yields (query, point) index arrays of all pairs at most ``chord`` apart."""
         square = chord * chord
-        for at in range(0, len(queries), block):
-            who = np.arange(at, min(len(queries), at + block))
+        step = max(1, block // 8)  # a query may reach many leaves
+        for at in range(0, len(queries), step):
+            who = np.arange(at, min(len(queries), at + step))
             node = np.zeros(len(who), dtype=np.int64)
             for level, (low, high) in enumerate(self.boxes):
                 q = queries[who]

@@ -3,11 +3,12 @@
 Space is cut by a k-d tree that is fitted on a bounded sample of the points, so
 dense spots get small parts.  Near: a point goes to the part it lies in and, as a
 halo copy, to every part within the radius; each part is searched with a local
-k-d tree by chord length.  Inside: points go to their part, footprints to every
-part that their bounding ball touches; a part with many footprints is split in
-shards that hold the part's points each.  In a shard a plane sweeps along the
-longest axis: a footprint is active between the extremes of its edges, and its
-edges decide for the points met there.
+k-d tree by chord length.  A part that has to hold more than its share, because the
+table outgrows the most parts, is searched by several tasks, each for some of its
+points.  Inside: points go to their part, footprints to every part that their
+bounding ball touches; a part with many footprints is split in shards that hold the
+part's points each, and in a shard the footprints' edges are swept.  Tasks give
+their results in batches.
 
 The sample only places the cuts: results do not depend on it.  Points at one
 place (one cell id) are searched once and joined back afterwards.
@@ -23,15 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..kernels import codec, grid, polygon, refine
+from ..kernels import codec, grid, polygon
 from ..kernels.kdtree import Cuts, LocalTree
+from ..kernels.sweep import sweep
 from ..lineage import cut
 from .balance import int_table
 from .cover import rings_of
 
-#: Points that place the cuts, and most parts.
-SAMPLE = 65_536
+#: Points that place the cuts, most parts, and points of a part that one task searches for.
+SAMPLE = 131_072
 MOST_PARTS = 8_192
+PART = 8_192
+#: Keys at one place that meet in one task.
+SPLIT = 1024
 _POINT = "place bigint, x double, y double, z double"
 
 
@@ -50,15 +55,15 @@ def places(df: DataFrame, cell: str) -> DataFrame:
     return ids.mapInArrow(run, _POINT)
 
 
-def fit_cuts(points: DataFrame, part: int = 8_192) -> Cuts:
-    """Cuts into parts of about ``part`` points, from about SAMPLE points that a hash picks."""
-    n = points.count()
+def fit_cuts(points: DataFrame, part: int | None = None) -> Cuts:
+    """Cuts into parts of about ``part`` points (PART), from about SAMPLE points that a hash picks."""
+    n, part = points.count(), part or PART
     depth = max(0, min(math.ceil(math.log2(max(1, n) / part)), int(math.log2(MOST_PARTS))))
     if not depth:
-        return Cuts(np.empty((0, 3)), 0)
+        return Cuts(np.empty((0, 3)), 0, n)
     picked = F.pmod(F.xxhash64("place"), F.lit(1 << 30)) < math.ceil(SAMPLE / n * (1 << 30))
     rows = points.where(picked).select("x", "y", "z").limit(2 * SAMPLE).toPandas()
-    return Cuts(rows.to_numpy(dtype=np.float64), depth)
+    return Cuts(rows.to_numpy(dtype=np.float64), depth, n)
 
 
 def _xyz(batch) -> np.ndarray:
@@ -70,30 +75,33 @@ def near_places(points: DataFrame, degrees: float, cuts: Cuts | None = None) ->
     cuts = cuts or fit_cuts(points)
     chord = 2.0 * math.sin(math.radians(degrees) / 2.0)
 
+    shards = max(1, math.ceil(cuts.points / (2 * PART * cuts.leaves)))
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = _xyz(batch)
             home = cuts.home(p)
             who, leaf = cuts.touched(p, np.full(len(p), chord * (1 + 1e-9)))
-            columns = [pa.array(leaf.astype(np.int32)), pa.array(leaf == home[who])]
+            mine = np.where(leaf == home[who], batch.column("place").to_numpy()[who] % shards, -1)
+            who, leaf, mine = (np.repeat(x, shards) for x in (who, leaf, mine))
+            shard = np.tile(np.arange(shards), len(who) // shards)
+            columns = [pa.array((leaf * shards + shard).astype(np.int32)), pa.array(mine == shard)]
             columns += [c.take(pa.array(who)) for c in batch.columns]
-            yield pa.RecordBatch.from_arrays(columns, ["leaf", "own", "place", "x", "y", "z"])
+            yield pa.RecordBatch.from_arrays(columns, ["task", "own", "place", "x", "y", "z"])
 
-    def search(table: pa.Table) -> pa.Table:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
         p = _xyz(table)
         place = table.column("place").to_numpy()
         own = np.flatnonzero(table.column("own").to_numpy(zero_copy_only=False))
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         if len(own):
             for q, k in LocalTree(p).within(p[own], chord):
                 left, right = place[own[q]], place[k]
                 keep = left < right
-                a.append(left[keep])
-                b.append(right[keep])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+                yield pa.RecordBatch.from_arrays([pa.array(left[keep]), pa.array(right[keep])], ["a", "b"])
 
-    copies = points.mapInArrow(spread, "leaf int, own boolean, place bigint, x double, y double, z double")
-    return copies.repartitionById(cuts.leaves, "leaf").groupBy("leaf").applyInArrow(search, "a bigint, b bigint")
+    copies = points.mapInArrow(spread, "task int, own boolean, place bigint, x double, y double, z double")
+    return copies.repartitionById(cuts.leaves * shards, "task").groupBy("task").applyInArrow(search, "a bigint, b bigint")
 
 
 def _members(df: DataFrame, key: str, cell: str) -> DataFrame:
@@ -119,62 +127,15 @@ def near_pairs(df: DataFrame, degrees: float, key: str, cell: str, cuts: Cuts |
     left = members.select(F.col("place").alias("a"), F.col("key").alias("k1"))
     right = members.select(F.col("place").alias("b"), F.col("key").alias("k2"))
     apart = pairs.join(left, "a").join(right, "b").select("k1", "k2")
-    same = left.join(right, F.col("a") == F.col("b")).where("k1 < k2").select("k1", "k2")
+    # the keys of one place are pairs too: one side goes to all parts of the place, the other is spread over them
+    many = members.groupBy("place").agg(((F.count("*") - 1) / SPLIT).cast("int").alias("last"), F.count("*").alias("n")).where("n > 1")
+    shared = members.join(many, "place")
+    c = shared.select("place", F.col("key").alias("k1"), F.explode(F.sequence(F.lit(0), "last")).alias("part"))
+    d = shared.select("place", F.col("key").alias("k2"), F.pmod(F.xxhash64("key"), F.col("last") + 1).cast("int").alias("part"))
+    same = c.join(d, ["place", "part"]).where("k1 < k2").select("k1", "k2")
     return apart.union(same).select(F.least("k1", "k2").alias("left_id"), F.greatest("k1", "k2").alias("right_id"))
 
 
-def _extent(rings: np.ndarray, normals: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest coordinate of each polygon (m, n, 3) along an axis, arcs included."""
-    low, high = rings[..., axis].min(1), rings[..., axis].max(1)
-    after = np.roll(rings, -1, axis=1)
-    unit = normals / np.sqrt((normals * normals).sum(-1, keepdims=True))
-    pole = np.zeros(3)
-    pole[axis] = 1.0
-    for sign in (1.0, -1.0):
-        top = sign * (pole - unit * unit[..., axis : axis + 1])
-        size = np.sqrt((top * top).sum(-1))
-        with np.errstate(all="ignore"):
-            top = top / size[..., None]
-        on_arc = (np.einsum("mnk,mnk->mn", np.cross(rings, top), unit) >= 0) & (np.einsum("mnk,mnk->mn", np.cross(top, after), unit) >= 0)
-        value = np.where(on_arc & (size > 0), top[..., axis], -sign)
-        around = refine.inside(normals, np.broadcast_to(sign * pole, (len(rings), 3)))
-        if sign > 0:
-            high = np.where(around, 1.0, np.maximum(high, value.max(1)))
-        else:
-            low = np.where(around, -1.0, np.minimum(low, value.min(1)))
-    return low - 1e-12, high + 1e-12
-
-
-def sweep(points: np.ndarray, rings: np.ndarray, block: int = 1 << 20):
-    """Yields (point, polygon) index arrays for polygons (m, n, 3) around points (p, 3)."""
-    if not len(points) or not len(rings):
-        return
-    axis = int(np.argmax(points.max(0) - points.min(0)))
-    order = np.argsort(points[:, axis], kind="stable")
-    line = points[order, axis]
-    normals = np.cross(rings, np.roll(rings, -1, axis=1))
-    low, high = _extent(rings, normals, axis)
-    start, stop = np.searchsorted(line, low, "left"), np.searchsorted(line, high, "right")
-    size = stop - start
-    ends = np.cumsum(size)
-    lo, n = 0, rings.shape[1]
-    while lo < len(size):
-        base = ends[lo] - size[lo]
-        hi = max(lo + 1, int(np.searchsorted(ends, base + block // n, "right")))
-        part, base = size[lo:hi], start[lo:hi]
-        stops = np.cumsum(part)
-        for cut in range(0, int(stops[-1]), block):
-            nth = np.arange(cut, min(int(stops[-1]), cut + block))
-            who = np.searchsorted(stops, nth, "right")
-            k = base[who] + nth - (stops - part)[who]
-            ok = np.ones(len(nth), dtype=bool)
-            for e in range(n):
-                ok &= (normals[lo + who, e] * points[order[k]]).sum(1) >= refine.EDGE_RULE
-            if ok.any():
-                yield order[k[ok]], lo + who[ok]
-        lo = hi
-
-
 def points_in_footprints(
     points: DataFrame, footprints: DataFrame, key: str = "footprint_id", vertices: str = "vertices", cuts: Cuts | None = None, shard: int = 65_536
 ) -> DataFrame:
@@ -201,7 +162,7 @@ def points_in_footprints(
                 lists = pa.ListArray.from_arrays(pa.array((np.arange(len(who) + 1) * n * 3).astype(np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), pa.array(keys[rows][who]), lists], ["leaf", "key", "ring"])
 
-    rings = source.mapInArrow(spread_rings, "leaf int, key bigint, ring array<double>")
+    rings = cut(source.mapInArrow(spread_rings, "leaf int, key bigint, ring array<double>"))
     counts = dict(rings.groupBy("leaf").count().collect())
     shards = np.array([max(1, math.ceil(counts.get(k, 0) / shard)) for k in range(cuts.leaves)])
     first = np.cumsum(shards) - shards
@@ -214,36 +175,29 @@ def points_in_footprints(
             who = np.repeat(np.arange(len(leaf)), many)
             nth = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
             columns = [pa.array((first[leaf[who]] + nth).astype(np.int32))] + [c.take(pa.array(who)) for c in batch.columns]
-            yield pa.RecordBatch.from_arrays(columns, ["task", "place", "x", "y", "z"])
+            yield pa.RecordBatch.from_arrays(columns, ["task", "id", "x", "y", "z"])
 
     at = F.element_at(int_table(first.tolist()), F.col("leaf") + 1)
     wide = F.element_at(int_table(shards.tolist()), F.col("leaf") + 1)
-    rings = rings.select((at + F.pmod(F.xxhash64("key"), wide)).cast("int").alias("task"), "key", "ring")
-    placed = points.mapInArrow(to_tasks, "task int, place bigint, x double, y double, z double")
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        p, place = _xyz(left), left.column("place").to_numpy()
+    none = F.lit(None)
+    rings = rings.select((at + F.pmod(F.xxhash64("key"), wide)).cast("int").alias("task"), F.col("key").alias("id"), *(none.cast("double").alias(c) for c in "xyz"), "ring")
+    placed = points.mapInArrow(to_tasks, "task int, id bigint, x double, y double, z double").withColumn("ring", none.cast("array<double>"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        left, right = table.filter(table.column("ring").is_null()), table.filter(table.column("ring").is_valid())
+        p, place, key = _xyz(left), left.column("id").to_numpy(), right.column("id").to_numpy()
         rings_ = right.column("ring").combine_chunks()
         sizes = np.diff(rings_.offsets.to_numpy()) if len(rings_) else np.empty(0, np.int64)
         values = rings_.flatten().to_numpy() if len(rings_) else np.empty(0)
         begin = np.cumsum(sizes) - sizes
-        keys = right.column("key").to_numpy()
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for n in np.unique(sizes):
             rows = np.flatnonzero(sizes == n)
             ring = values[begin[rows][:, None] + np.arange(n)].reshape(len(rows), -1, 3)
             for k, poly in sweep(p, ring):
-                a.append(place[k])
-                b.append(keys[rows[poly]])
-        return pa.table({"place": np.concatenate(a), "key": np.concatenate(b)})
-
-    found = (
-        placed.repartitionById(total, "task")
-        .groupBy("task")
-        .cogroup(rings.repartitionById(total, "task").groupBy("task"))
-        .applyInArrow(search, "place bigint, key bigint")
-    )
-    return found
+                yield pa.RecordBatch.from_arrays([pa.array(place[k]), pa.array(key[rows[poly]])], ["place", "key"])
+
+    return placed.union(rings).repartitionById(total, "task").groupBy("task").applyInArrow(search, "place bigint, key bigint")
 
 
 def near_and_inside(targets: DataFrame, footprints: DataFrame, degrees: float, key: str = "target_id", cell: str = "cell_id") -> DataFrame:

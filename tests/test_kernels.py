@@ -186,3 +186,44 @@ def test_whole_cells_are_taken_as_ranges():
     rings = polygon.normalize(xyz(*QUAD), np.array([0, 4]))[1][0][1]
     parts = [np.concatenate(x) for x in zip(*refine.cover_ranges(rings, 14))]
     assert len(parts[0]) < 60_000 and (parts[2] - parts[1] + 1).sum() == 16_353_694
+
+
+def polygons(rng, many, corners, size):
+    """Convex polygons around random centers, some with a vertex on the line of two others, some as wide as a third of the sphere."""
+    out = []
+    for k in range(many):
+        c = rng.normal(size=3)
+        c /= np.linalg.norm(c)
+        u = np.cross(c, [0.3, 0.5, -0.8])
+        u /= np.linalg.norm(u)
+        v = np.cross(c, u)
+        angle = np.sort(rng.uniform(0, 2 * np.pi, corners)) if k % 3 else np.arange(corners) * 2 * np.pi / corners
+        if np.diff(np.r_[angle, angle[0] + 2 * np.pi]).max() > 2.9:
+            angle = np.arange(corners) * 2 * np.pi / corners
+        radius = 1.2 if k % 19 == 7 else size * rng.uniform(0.2, 2)
+        ring = c + np.tan(min(radius, 1.3)) * (np.cos(angle)[:, None] * u + np.sin(angle)[:, None] * v)
+        if k % 5 == 1:
+            ring[1] = (ring[0] + ring[2]) / 2
+        out.append(ring / np.linalg.norm(ring, axis=1, keepdims=True))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("corners", [3, 4, 7])
+@pytest.mark.parametrize("size, spread", [(0.02, 2.0), (0.3, 2.0), (0.01, 0.05), (0.5, 0.05)])
+def test_sweep_against_all_edges(corners, size, spread):
+    from orbspan.kernels.refine import inside
+    from orbspan.kernels.sweep import sweep
+
+    rng = np.random.default_rng(corners)
+    rings = polygons(rng, 150, corners, size)
+    points = rings[3].mean(0) + spread * rng.normal(size=(3000, 3))
+    points = np.concatenate([points, rings.mean(1), rings[:20].reshape(-1, 3) * 1.5, points[:50]])
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    normals = np.cross(rings, np.roll(rings, -1, axis=1))
+    # points on an edge hang on rounding
+    clear = (np.abs(np.einsum("mnk,pk->mpn", normals, points)) > 1e-13).all(-1)
+    want = {(p, m) for m in range(len(rings)) for p in np.flatnonzero(inside(normals[m], points) & clear[m])}
+    for block in (1 << 20, 700):
+        found = [(int(p), int(m)) for a, b in sweep(points, rings, block) for p, m in zip(a, b)]
+        assert len(found) == len(set(found)) and {x for x in found if clear[x[1], x[0]]} == want
+    assert list(sweep(points[:0], rings)) == list(sweep(points, rings[:0])) == []

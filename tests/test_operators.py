@@ -245,7 +245,28 @@ def test_near_against_brute_force(spark):
         assert got == sorted(want)
 
 
-def test_near_pairs_of_cells(spark):
+def test_a_dense_spot_is_searched_by_several_tasks(spark, monkeypatch):
+    from orbspan.kernels.kdtree import Cuts
+    from orbspan.operators import near
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(20_000, 3)) * [4e-3, 4e-3, 0] + [0, 0, 1]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    d = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(v)], "place bigint, x double, y double, z double")
+    want, chord = 0, 2 * np.sin(np.radians(0.01) / 2)
+    for k in range(0, len(v), 2000):
+        want += int(((v[k : k + 2000, None, 0] - v[None, :, 0]) ** 2 + (v[k : k + 2000, None, 1] - v[None, :, 1]) ** 2 + (v[k : k + 2000, None, 2] - v[None, :, 2]) ** 2 <= chord**2).sum())
+    for part, depth in ((8192, 2), (500, 1)):
+        monkeypatch.setattr(near, "PART", part)
+        found = near_places(d, 0.01, Cuts(v[::40], depth, len(v)))
+        assert found.count() == found.distinct().count() == (want - len(v)) // 2 > 20_000
+
+
+def test_near_pairs_of_cells(spark, monkeypatch):
+    from orbspan.operators import near
+
+    monkeypatch.setattr(near, "SPLIT", 1)
+
     cells = [(1, 1041, "a"), (2, 1041, "b"), (1, 1041, "a"), (3, 28, "c"), (4, None, "d"), (None, 1041, "e"), (5, 16, "f"), (6, 1 << 40 | 5, "g"), (7, 1 << 40 | 4, "h")]
     d = spark.createDataFrame(cells, "target_id bigint, cell_id bigint, place string")
     assert rows(op.near_pairs(d, 0.01, "target_id", "cell_id")) == [(1, 2), (6, 7)]
