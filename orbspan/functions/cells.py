@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..kernels import codec, grid
+from ..kernels import codec, grid, polygon
 
 LONLAT = T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())])
 VEC = T.StructType([T.StructField(c, T.DoubleType()) for c in "xyz"])
@@ -124,15 +126,18 @@ def _centers(strict: bool):
 
 
 def _boundaries(strict: bool):
-    @F.pandas_udf(T.ArrayType(LONLAT))
-    def run(ids: pd.Series) -> pd.Series:
-        values, good = _checked(ids, strict)
-        out = np.full(len(ids), None, dtype=object)
-        if good.any():
-            found = grid.corners_lonlat(values[good])
-            for at, four in zip(np.flatnonzero(good), found):
-                out[at] = [{"lon": a, "lat": b} for a, b in four.tolist()]
-        return pd.Series(out)
+    @F.arrow_udf(T.ArrayType(LONLAT))
+    def run(ids: pa.Array) -> pa.Array:
+        values = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        known = pc.is_valid(ids).to_numpy(zero_copy_only=False)
+        good = known & codec.is_valid(values)
+        if strict and (known & ~good).any():
+            raise ValueError(codec.BAD_ID)
+        corners = grid.corners_lonlat(values[good]).reshape(-1, 2) if good.any() else np.empty((0, 2))
+        pairs = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(corners[:, k])) for k in (0, 1)], ["lon", "lat"])
+        # an id that is not valid has no corners: its offset is null
+        ends = np.r_[0, np.cumsum(np.where(good, 4, 0))].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends, mask=np.r_[~good, False]), pairs)
 
     return run
 
@@ -147,17 +152,24 @@ def boundaries(c, strict: bool = False) -> Column:
     return _boundaries(strict)(_col(c))
 
 
-def lonlat_to_xyz(lon, lat) -> Column:
-    """Unit vector of degrees; longitude is unbounded, a latitude beyond the poles gives null."""
-    lon, lat = _col(lon), _col(lat)
-    ok = (F.abs(lat) <= 90.0) & (F.abs(lon) < float("inf"))
-    lon, lat = F.radians(lon), F.radians(lat)
-    return F.when(
-        ok, F.struct((F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z"))
-    )
+def lonlat_to_xyz(lon, lat, strict: bool = False) -> Column:
+    """Unit vector of degrees; longitude is unbounded.
+
+    A degree that is not finite or a latitude beyond the poles gives null, or stops the query if ``strict``; nulls give null.
+    """
+    lon, lat = _col(lon).cast("double"), _col(lat).cast("double")
+    finite = (F.abs(lat) < float("inf")) & (F.abs(lon) < float("inf"))
+    x, y = F.radians(lon), F.radians(lat)
+    vector = F.struct((F.cos(y) * F.cos(x)).alias("x"), (F.cos(y) * F.sin(x)).alias("y"), F.sin(y).alias("z"))
+    if not strict:
+        return F.when(finite & (F.abs(lat) <= 90.0), vector)
+    stop = lambda k: F.raise_error(polygon.MESSAGES[k]).cast("struct<x:double,y:double,z:double>")
+    return F.when(~finite, stop(polygon.NOT_FINITE)).when(F.abs(lat) > 90.0, stop(polygon.BEYOND_POLES)).when(finite, vector)
 
 
 def xyz_to_lonlat(v) -> Column:
+    """struct(lon, lat) in degrees of a vector of any length; -180 is given as 180."""
     v = _col(v)
     x, y, z = (v.getField(c) for c in "xyz")
-    return F.struct(F.degrees(F.atan2(y, x)).alias("lon"), F.degrees(F.atan2(z, F.hypot(x, y))).alias("lat"))
+    lon = F.degrees(F.atan2(y, x))
+    return F.struct(F.when(lon <= -180.0, 180.0).otherwise(lon).alias("lon"), F.degrees(F.atan2(z, F.hypot(x, y))).alias("lat"))

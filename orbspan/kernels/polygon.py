@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from . import grid
+
 # Tolerances and messages of the footprint rules.
 ZERO_NORM = 1e-15
 SIDE_EPSILON = 1e-14
@@ -28,8 +30,10 @@ MESSAGES = (
     "Polygon contains degenerate edges.",
     "Polygon must be convex.",
     "Footprint or vertex is null.",
+    "lon/lat inputs must be finite.",
+    "latitude must be between -90 and 90 degrees.",
 )
-NULL_INPUT = 12
+NULL_INPUT, NOT_FINITE, BEYOND_POLES = 12, 13, 14
 # Doubles in one block of a batch, so that memory does not follow the batch.
 _BLOCK = 4_000_000
 
@@ -71,6 +75,22 @@ def normalize(flat: np.ndarray, offsets: np.ndarray, null: np.ndarray | None = N
     return codes, rings
 
 
+def normalize_degrees(flat: np.ndarray, offsets: np.ndarray, null: np.ndarray | None = None):
+    """normalize() of vertices (v, 2) in degrees: the first bad vertex of a polygon decides, polygons in their order."""
+    finite = np.isfinite(flat).all(-1)
+    kind = np.where(~finite, NOT_FINITE, np.where(np.abs(flat[:, 1]) > 90.0, BEYOND_POLES, 0))
+    good = np.where(kind[:, None] > 0, 0.0, flat)
+    codes, rings = normalize(grid.lonlat_xyz(good[:, 0], good[:, 1]), offsets, null)
+    bad = np.flatnonzero(kind)
+    owner = np.searchsorted(offsets, bad, side="right") - 1
+    owner, first = np.unique(owner, return_index=True)
+    # too few vertices and nulls come before the degrees, all other rules after them
+    ahead = np.isin(codes[owner], (1, NULL_INPUT))
+    codes[owner[~ahead]] = kind[bad[first[~ahead]]]
+    kept = [(codes[rows] == 0, rows, ring) for rows, ring in rings]
+    return codes, [(rows[k], ring[k]) for k, rows, ring in kept if k.any()]
+
+
 def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.abs(a - b) < SAME_VERTEX).all(-1)
 

@@ -26,28 +26,29 @@ from pyspark.sql import types as T
 
 from ..api import as_resolution
 from ..kernels import codec, polygon, refine
+from ..lineage import cut
 
 # Longest range in one row: bounds the array that sequence() builds.
 LONGEST = 1 << 16
 _BAD_RESOLUTION = len(polygon.MESSAGES)
 
 
-def rings_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(flat vertices, offsets, null rows) of an Arrow list<struct<x,y,z>> column."""
+def rings_of(column, fields: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(flat vertices, offsets, null rows) of an Arrow list<struct<x,y,z>> column, or list<struct<lon,lat>>."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     offsets = np.r_[0, np.cumsum(sizes)]
     values = column.flatten()
     parts, missing = [], np.zeros(len(values), dtype=bool)
-    for axis in range(3):
+    for axis in range(fields):
         part = pc.struct_field(values, axis)
         missing |= pc.is_null(part).to_numpy(zero_copy_only=False)
         parts.append(pc.fill_null(part, 0.0).to_numpy(zero_copy_only=False))
     null = pc.is_null(column).to_numpy(zero_copy_only=False).copy()
     if missing.any():
         null[np.searchsorted(offsets, np.flatnonzero(missing), side="right") - 1] = True
-    return np.stack(parts, axis=-1) if len(values) else np.empty((0, 3)), offsets, null
+    return np.stack(parts, axis=-1) if len(values) else np.empty((0, fields)), offsets, null
 
 
 def _messages(codes: np.ndarray) -> list[str | None]:
@@ -57,8 +58,10 @@ def _messages(codes: np.ndarray) -> list[str | None]:
 
 def _work(batch: pa.RecordBatch, resolution: int | None, strict: bool):
     """(codes, (row, first, last) blocks) of one batch: key, vertices[, resolution]."""
-    flat, offsets, null = rings_of(batch.column(1))
-    codes, rings = polygon.normalize(flat, offsets, null)
+    if batch.schema.field(1).type.value_type.num_fields == 2:
+        codes, rings = polygon.normalize_degrees(*rings_of(batch.column(1), 2))
+    else:
+        codes, rings = polygon.normalize(*rings_of(batch.column(1)))
     if resolution is None:
         wanted = pc.fill_null(pc.cast(batch.column(2), pa.int64()), -1).to_numpy(zero_copy_only=False)
         codes[(codes == 0) & ((wanted < 0) | (wanted > codec.MAX_RESOLUTION))] = _BAD_RESOLUTION
@@ -79,9 +82,10 @@ def _work(batch: pa.RecordBatch, resolution: int | None, strict: bool):
 
 def _source(df: DataFrame, resolution, key: str, vertices: str) -> tuple[DataFrame, int | None]:
     kind = df.schema[vertices].dataType
-    if not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and len(kind.elementType) == 3):
-        raise TypeError(f"{vertices} must be ARRAY<STRUCT<x,y,z>>.")
-    columns = [df[key], df[vertices].cast("array<struct<x:double,y:double,z:double>>").alias(vertices)]
+    if not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and len(kind.elementType) in (2, 3)):
+        raise TypeError(f"{vertices} must be ARRAY<STRUCT<x,y,z>>, or ARRAY<STRUCT<lon,lat>> in degrees.")
+    fields = "x:double,y:double,z:double" if len(kind.elementType) == 3 else "lon:double,lat:double"
+    columns = [df[key], df[vertices].cast(f"array<struct<{fields}>>").alias(vertices)]
     if isinstance(resolution, str):
         if not isinstance(df.schema[resolution].dataType, T.IntegralType):
             raise TypeError("resolution must be an integer.")
@@ -218,28 +222,34 @@ def lonlat_vertices(column):
 def cover_lonlat(
     df: DataFrame, resolution, key: str = "footprint_id", vertices: str = "vertices", mode: str = "strict", **more
 ) -> DataFrame:
-    """cover_footprint of vertices given as ARRAY<STRUCT<lon,lat>> in degrees."""
-    columns = [df[key], lonlat_vertices(df[vertices]).alias(vertices)]
-    if isinstance(resolution, str):
-        columns.append(df[resolution])
-    return cover_footprint(df.select(*columns), resolution, key, vertices, mode, **more)
+    """cover_footprint of vertices given as ARRAY<STRUCT<lon,lat>> in degrees.
 
+    Longitudes are unbounded.  Of the rules of a footprint, degrees that are not finite and latitudes
+    beyond the poles come right after the number of vertices.
+    """
+    kind = df.schema[vertices].dataType
+    if not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and len(kind.elementType) == 2):
+        raise TypeError(f"{vertices} must be ARRAY<STRUCT<lon,lat>>.")
+    return cover_footprint(df, resolution, key, vertices, mode, **more)
 
-def coverage_offsets(counts: DataFrame, key: str = "footprint_id", n: str = "n", bucket: int = 1 << 16) -> DataFrame:
+
+def coverage_offsets(counts: DataFrame, key: str = "footprint_id", n: str = "n") -> DataFrame:
     """(key, offset_start, offset_stop) of each footprint's slice, in order of an integer key.
 
-    A running sum over all keys would need one task; this one sums within buckets
-    of ``bucket`` consecutive keys and adds the sums of the buckets before.
+    Keys are sorted into ranges, one a partition; what lies before a range is the sum of the ranges before,
+    of which there are as many as partitions.  No task holds more than its range.  A range has whole keys.
     """
     from pyspark.sql import Window
 
-    source = counts.select(F.col(key), F.col(n).alias("n"), F.expr(f"`{key}` div {bucket}").alias("__b"))
-    before = (
-        source.groupBy("__b")
-        .agg(F.sum("n").alias("__n"))
-        .select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"))
-    )
-    within = F.sum("n").over(Window.partitionBy("__b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    summed = source.withColumn("__stop", within).join(before, "__b")
+    ranged = counts.select(F.col(key), F.col(n).alias("n")).repartitionByRange(key)
+    placed = cut(ranged.withColumn("__range", F.spark_partition_id()))
+    sums = sorted((r[0], r[1] or 0) for r in placed.groupBy("__range").agg(F.sum("n")).collect())
+    ends, total = [], 0
+    for part, size in sums:
+        ends.append((part, total))
+        total += size
+    before = F.broadcast(counts.sparkSession.createDataFrame(ends, "__range int, __before bigint"))
+    within = F.sum("n").over(Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    summed = placed.withColumn("__stop", within).join(before, "__range")
     stop = F.col("__before") + F.col("__stop")
     return summed.select(key, (stop - F.col("n")).alias("offset_start"), stop.alias("offset_stop"))

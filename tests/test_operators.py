@@ -84,7 +84,7 @@ def test_offsets_and_import(spark, tmp_path):
             load_footprints(tmp_path / name)
     f = footprints_from_arrays(spark, quads)
     want = orbspan.cover_footprint(quads, 4)
-    cut = rows(op.coverage_offsets(op.cover_counts(f, 4), bucket=1))
+    cut = rows(op.coverage_offsets(op.cover_counts(f, 4)))
     assert [(a, b) for _, a, b in cut] == list(zip(want.offsets[:-1].tolist(), want.offsets[1:].tolist()))
     assert rows(op.cover_footprint(f, 4)) == rows(coverage_from_arrays(spark, want))
 
@@ -187,6 +187,42 @@ def test_balanced_join_and_map(spark):
     assert op.balanced_join(none, right, ["k"]).count() == 0 and op.plan_load(none, ["k"]).heavy == []
 
 
+def test_offsets_of_far_keys(spark):
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(-(1 << 62), 1 << 62, 3000))
+    n = rng.integers(0, 9, len(keys))
+    d = spark.createDataFrame(list(zip(keys.tolist(), n.tolist())), "footprint_id bigint, n bigint").repartition(5, "n")
+    stop = np.cumsum(n)
+    assert rows(op.coverage_offsets(d)) == list(zip(keys.tolist(), (stop - n).tolist(), stop.tolist()))
+    assert op.coverage_offsets(d.limit(0)).count() == 0
+
+
+def test_degrees_name_their_error_in_order(spark):
+    from orbspan.api import cover_lonlat
+
+    nan, good = float("nan"), [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0)]
+    few, not_finite, beyond = "Each polygon needs at least three vertices.", "lon/lat inputs must be finite.", "latitude must be between -90 and 90 degrees."
+    cases = [([*good, (nan, 1.0)], not_finite), ([(0.0, 91.0), (nan, 0.0), (1.0, 1.0)], beyond), ([(nan, 91.0), (0.0, 91.0)], few), ([(0.0, 0.0), (0.0, 0.0), (1.0, 1.0)], "Polygon contains duplicate consecutive vertices.")]
+    rows_ = [(k, v) for k, (v, _) in enumerate(cases)] + [(7, good), (8, None), (9, [(0.0, None), (nan, 0.0), (1.0, 1.0)])]
+    d = spark.createDataFrame(rows_, "footprint_id bigint, vertices array<struct<lon:double,lat:double>>")
+    errors = {r[0]: r[1] for r in op.validate_footprints(d).collect()}
+    assert errors == {k: m for k, (_, m) in enumerate(cases)} | {7: None, 8: "Footprint or vertex is null.", 9: "Footprint or vertex is null."}
+    assert {r[0] for r in op.cover_lonlat(d, 5, mode="permissive").collect()} == {7}
+    for k, (_, message) in enumerate(cases):
+        with pytest.raises(Exception, match=message):
+            op.cover_lonlat(d.where(f"footprint_id = {k}"), 5).collect()
+    # arrays: the first footprint of a batch that breaks a rule gives the message
+    flat, offsets = np.array([*cases[2][0], *cases[0][0]]), np.array([0, 2, 6])
+    with pytest.raises(ValueError, match=few):
+        cover_lonlat(flat, offsets, 3)
+    with pytest.raises(ValueError, match=not_finite):
+        cover_lonlat(flat[2:], offsets[1:] - 2, 3)
+    with pytest.raises(Exception, match=beyond):
+        spark.range(1).select(fn.lonlat_to_xyz(F.lit(0.0), F.lit(91.0), strict=True)).collect()
+    west = spark.range(1).select(F.struct(F.lit(-1.0).alias("x"), F.lit(-0.0).alias("y"), F.lit(0.0).alias("z")).alias("v"))
+    assert west.select(fn.xyz_to_lonlat("v").lon).first()[0] == 180.0
+
+
 def test_counts_with_total_keep_tasks_even(spark):
     from orbspan.operators import balance
     from orbspan.plans.core import heavy_records
