@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
+from ..kernels import polygon
 from ..lineage import cut
 from ..operators import balance, cover, near, swath
 from ..sources.arrays import explode_batches, well_formed
@@ -88,7 +89,7 @@ def valid_footprints(spark, sf_dir):
     return cover.validate_footprints(read(spark, sf_dir, "footprints")).select("footprint_id", F.col("error").isNull().alias("valid"))
 
 
-@query()
+@query(f"WITH {_FOOT}, {S.broken('src', polygon.MESSAGES)} SELECT error, CAST(count(*) AS BIGINT) AS n FROM said WHERE error IS NOT NULL GROUP BY error")
 def invalid_footprints(spark, sf_dir):
     found = cover.validate_footprints(read(spark, sf_dir, "footprints"))
     return found.where("error is not null").groupBy("error").agg(F.count("*").alias("n"))
@@ -109,6 +110,18 @@ def cover_arrays_r3(spark, sf_dir):
     return cover.cover_arrays(read(spark, sf_dir, "footprints"), 3, mode="permissive")
 
 
+_MIXED = " UNION ALL ".join(f"SELECT CAST(i AS BIGINT) AS nested, {r} AS r FROM range({12 << 2 * r}) t(i)" for r in range(7))
+
+
+@query(f"""WITH {_FOOT}, {S.rings('src')}, c0 AS ({_MIXED}), {S.spots('c0')}, cell AS (SELECT r, s * cos(phi) AS x, s * sin(phi) AS y, z FROM spot),
+hit AS (SELECT e.rid, c.x, c.y, c.z FROM edge e JOIN cell c ON c.r = e.key % 7 GROUP BY e.rid, c.x, c.y, c.z HAVING min(e.nx * c.x + e.ny * c.y + e.nz * c.z) >= -1e-14)
+SELECT any_value(d.key) AS footprint_id, CAST(count(h.x) AS BIGINT) AS n FROM (SELECT rid, any_value(key) AS key FROM edge GROUP BY rid HAVING any_value(key) IS NOT NULL) d LEFT JOIN hit h ON h.rid = d.rid GROUP BY d.rid""")
+def cover_counts_mixed(spark, sf_dir):
+    """Cells of each footprint where every row has a resolution of its own, 0 to 6 by its id."""
+    f = read(spark, sf_dir, "footprints").where("footprint_id is not null")
+    return cover.cover_counts(f.withColumn("level", F.pmod("footprint_id", F.lit(7)).cast("int")), "level", mode="permissive")
+
+
 @query()
 def cover_counts_native(spark, sf_dir):
     """Cells of each footprint at its own resolution, without listing them."""
