@@ -65,6 +65,29 @@ def p1_estimates(spark, sf_dir):
     return _starred(found, "n", F.round("estimate").cast("bigint").alias("cells"), F.round(F.col("estimate") * ERROR, 1).alias("deviation"))
 
 
+@query(f"""SELECT strftime(covered_at, '%Y-%m-%d') AS covered_day, coalesce(instrument, '*') AS instrument, coalesce(CAST(resolution AS VARCHAR), '*') AS resolution,
+CAST(count(DISTINCT cell_id) AS BIGINT) AS cells, true AS within
+FROM (SELECT CAST(covered_at AS DATE) AS covered_at, instrument, resolution, cell_id FROM coverage
+      WHERE {VALID} AND covered_at IS NOT NULL AND instrument IS NOT NULL AND resolution IS NOT NULL)
+GROUP BY GROUPING SETS ((covered_at, instrument, resolution), (covered_at, instrument), (covered_at, resolution), (covered_at))""")
+def p1_within(spark, sf_dir):
+    """The different cells of every group counted exactly, and whether the estimate is within five of the stated deviations."""
+    from .bitmaps import ERROR
+
+    keys = ["day", "instrument", "resolution"]
+    rows = _daily(spark, sf_dir).dropna()
+    found = sparse.group_estimates(rows, keys, "cell_id", _DAYS).select("__set", *keys, "estimate")
+    kinds = {k: rows.schema[k].dataType for k in keys}
+    groups = [F.struct(*[(F.col(k) if k in s else F.lit(None).cast(kinds[k])).alias(k) for k in keys]) for s in _DAYS]
+    exact = rows.select("cell_id", F.explode(F.array(*groups)).alias("g")).distinct().groupBy("g").agg(F.count("*").alias("cells"))
+    match = None
+    for k in keys:
+        one = F.col(k).eqNullSafe(F.col(f"g.{k}"))
+        match = one if match is None else match & one
+    off = F.abs(F.col("estimate") - F.col("cells"))
+    return _starred(found.join(exact, match), "cells", (off <= 5 * ERROR * F.col("cells") + 2).alias("within"))
+
+
 @query(f"WITH v AS (SELECT cell_id FROM coverage WHERE {VALID}) SELECT cell_id FROM v GROUP BY cell_id HAVING count(*) * 100 >= (SELECT count(*) FROM v)")
 def p2_found(spark, sf_dir):
     rows = read(spark, sf_dir, "coverage").where(is_cell_id("cell_id"))

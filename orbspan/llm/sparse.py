@@ -37,18 +37,19 @@ def sparse_groups(df: DataFrame, keys: list[str], identifier: str, sets: list[li
     slack = F.greatest(F.col("estimate"), limit) * (BAND * bitmaps.ERROR) + 2
     sure = found.where(F.col("estimate") + slack < limit).select(*keys)
     open_ = found.where(F.abs(F.col("estimate") - limit) <= slack)
-    # the most specific keys first: what all groupings have in common is joined on, the rest is compared
-    common = [k for k in keys if all(k in s for s in sets)]
-    match = None
+    # a row belongs to one group of each grouping; all keys of the group are joined on
+    kinds = {k: rows.schema[k].dataType for k in keys}
+    groups = [F.struct(*[(F.col(k) if k in s else F.lit(None).cast(kinds[k])).alias(k) for k in keys]) for s in sets]
+    own = rows.select(F.col(identifier).alias("__id"), F.explode(F.array(*groups)).alias("__g"))
     asked = open_.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("n").alias("__n"))
+    match = None
     for k in keys:
-        one = F.col(k) == F.col(f"__{k}")
-        one = one if k in common else (F.col(f"__{k}").isNull() | one)
+        one = F.col(f"__g.{k}").eqNullSafe(F.col(f"__{k}"))
         match = one if match is None else match & one
     small = open_.count() <= MOST_BROADCAST
     counted = (
-        rows.join(F.broadcast(asked) if small else asked, match)
-        .groupBy(*[f"__{k}" for k in keys], "__n", identifier)
+        own.join(F.broadcast(asked) if small else asked, match)
+        .groupBy(*[f"__{k}" for k in keys], "__n", "__id")
         .agg(F.lit(1).alias("__one"))
         .groupBy(*[f"__{k}" for k in keys], "__n")
         .agg(F.count("*").alias("__d"))
