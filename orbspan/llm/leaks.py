@@ -56,7 +56,7 @@ GATE = 7.0
 #: Words of the chains that are followed then; shorter ones only in spans of PIECE letters.
 LEAST = 3.0
 #: The same for pieces in different columns together.
-PIECES = 9.5
+PIECES = 8.0
 #: Price of a chain in words: for each word left out, a jump on the page, a shift by a few letters, a jump to another column.
 _LEFT, _LEAP, _SHIFT, _COLUMN = 0.5, 1.0, 0.3, 2.0
 _PRICE = np.array([0.0] + [_SHIFT] * HALF + [_LEAP], dtype=np.float32)
