@@ -131,6 +131,15 @@ def test_columns(spark):
     assert spark.range(1).select(fn.lonlat_to_xyz(F.lit(0.0), F.lit(91.0))).first()[0] is None
 
 
+def test_validity_next_to_powers_of_two(spark):
+    from orbspan.kernels import codec
+
+    ids = sorted({max(-(1 << 63), min((1 << 63) - 1, (a << k) + d)) for k in range(63) for a in (1, 7, 15, 27, 28, 31) for d in (-2, -1, 0, 1) for k in (k,) if (a << k) < 1 << 63} | {0, -1, -16})
+    got = spark.createDataFrame([(i,) for i in ids], "c bigint").select("c", fn.is_cell_id("c"), fn.cell_resolution("c")).collect()
+    want = codec.resolution_of(np.array(ids)).tolist()
+    assert [(r[0], r[1], r[2]) for r in got] == [(i, r >= 0, r if r >= 0 else None) for i, r in zip(ids, want)]
+
+
 def test_sql_names(spark):
     sql.register(spark)
     table(spark, (1, xyz(*QUAD))).createOrReplaceTempView("some_footprints")
