@@ -90,13 +90,16 @@ def hamming(left: str, right: str) -> Column:
     return total
 
 
-def classes(sets: DataFrame, key: str, items: str) -> DataFrame:
-    """(key, class): class is the smallest key with the same set; told apart by 128 bits of hash."""
-    finger = sets.select(
-        key, F.struct(F.size(items), F.xxhash64(items), F.xxhash64(F.lit(7), F.reverse(items))).alias("finger")
-    )
-    least = finger.groupBy("finger").agg(F.min(key).alias("class"))
-    return finger.join(least, "finger").select(key, "class")
+def fingered(sets: DataFrame) -> DataFrame:
+    """Sets (id, items) with columns that tell different sets apart: size and 128 bits of hash."""
+    return sets.select("id", "items", F.size("items").alias("n"), F.xxhash64("items").alias("f1"), F.xxhash64(F.lit(7), "items").alias("f2"))
+
+
+def classes(sets: DataFrame) -> DataFrame:
+    """(id, class) of fingered sets: class is the smallest id with the same set."""
+    finger = sets.select("id", "n", "f1", "f2")
+    least = finger.groupBy("n", "f1", "f2").agg(F.min("id").alias("class"))
+    return finger.join(least, ["n", "f1", "f2"]).select("id", "class")
 
 
 def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
@@ -126,10 +129,11 @@ def similar_sets(named: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
     ``named`` is (id, items), clean: different ids, sorted different items, no empty sets.  A
     representative is the smallest id of its set, so copies take no more than a row each.
     """
-    owner = cut(classes(named, "id", "items"))
+    named = cut(fingered(named))
+    owner = cut(classes(named))
     copies = sent_if_small(owner.where("id <> class").select("id"))
     reps = named.join(copies, "id", "left_anti")
-    return similar_classes(reps, threshold), owner
+    return similar_classes(reps.select("id", "items"), threshold), owner
 
 
 def similar_pairs(sets: DataFrame, threshold: float, key: str = "id", items: str = "items", other: DataFrame | None = None) -> DataFrame:
@@ -153,7 +157,7 @@ def similar_pairs(sets: DataFrame, threshold: float, key: str = "id", items: str
     else:
         # keys of both tables go into one space: even ids on the left, odd on the right
         named = clean(sets).withColumn("id", F.col("id") * 2).union(clean(other).withColumn("id", F.col("id") * 2 + 1))
-    links, owner = similar_sets(cut(named), threshold)
+    links, owner = similar_sets(named, threshold)
     x, y = owner.select(F.col("id").alias("id1"), F.col("class").alias("a")), owner.select(F.col("id").alias("id2"), F.col("class").alias("b"))
     apart = links.select("a", "b").join(x, "a").join(y, "b").select("id1", "id2")
     # all pairs of copies are asked for: the copies of one set are split over tasks by their number
