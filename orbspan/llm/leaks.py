@@ -49,6 +49,8 @@ PASS = 16_000_000
 HITS = 2_000_000
 #: Characters of the parts of a long text, and characters that two of them have in common.
 PART, OVERLAP = 120_000, 40_000
+#: Letters of the shortest exact match that counts.  Passages with every 14th letter wrong are still found by their matches.
+SHORTEST = 13
 #: Longest interruption on the page and in the item, in letters.
 REACH, SKIP = 900, 90
 #: Words of a chain, less its price, from which a page and an item get a closer look.
@@ -128,6 +130,7 @@ class Items:
         self.sizes = sizes = np.array([len(x) for x in self.letters], dtype=np.int64)
         self.starts = (np.cumsum(sizes + 1) - sizes).astype(np.int32)
         self._runs: dict[int, list[np.ndarray]] = {}
+        self.longest = max((len(b) for b, _ in self.words), default=0) + 1
         owner = np.repeat(np.arange(len(rows)), np.maximum(0, sizes - HALF + 1))
         begins = np.cumsum(np.maximum(0, sizes - HALF + 1))
         offset = np.arange(len(owner)) - np.repeat(np.r_[0, begins[:-1]] if len(begins) else begins, np.maximum(0, sizes - HALF + 1))
@@ -210,13 +213,17 @@ def spans(index: FmIndex, items: Items, letters: np.ndarray, docs: np.ndarray):
 
 def _matches(items: Items, letters: np.ndarray, docs: np.ndarray, kind, position, doc, times):
     many = np.cumsum(times)
-    nth = np.arange(many[-1]) + np.repeat(items.kind_start[kind] - (many - times), times)
+    nth = np.arange(many[-1], dtype=np.int32)
+    nth += np.repeat((items.kind_start[kind] - (many - times)).astype(np.int32), times)
     # a match begins where the letters before differ
     begins = np.repeat(letters[position - 1], times) != items.before[nth]
     nth = nth[begins]
     source = np.repeat(np.arange(len(kind), dtype=np.int32), times)[begins]
     page, at, item = position[source], items.place[nth], items.owner[nth]
-    return doc[source], item, page, at - items.starts[item], _length(letters, page, items.flat, at)
+    length = _length(letters, page, items.flat, at)
+    long = np.flatnonzero(length >= SHORTEST)
+    source, item, page, at, length = (x[long] for x in (source, item, page, at, length))
+    return doc[source], item, page, at - items.starts[item], length
 
 
 def likely(doc, item, page, offset, length, items: Items):
@@ -236,6 +243,17 @@ def likely(doc, item, page, offset, length, items: Items):
     if not len(kept):
         return tuple(x[kept] for x in (doc, item, page, offset, length))
     doc, item, page, offset, length, code, first, last = (x[kept] for x in (doc, item, page, offset, length, code, first, last))
+    # a chain takes each word of the item once, however often the page has it
+    new = np.r_[True, code[1:] != code[:-1]]
+    group = np.cumsum(new, dtype=np.int32) - 1
+    before = np.maximum.accumulate(last + group * np.float64(items.longest)) - group * np.float64(items.longest)
+    before = np.where(new, 0.0, np.r_[0.0, before[:-1]])
+    once = np.maximum(0.0, last - np.maximum(first, before))
+    start = np.flatnonzero(new)
+    may = np.flatnonzero((np.add.reduceat(once, start) >= GATE - 1e-3)[group])
+    doc, item, page, offset, length, code, first, last = (x[may] for x in (doc, item, page, offset, length, code, first, last))
+    if not len(may):
+        return doc, item, page, offset, length
     group = np.cumsum(np.r_[False, code[1:] != code[:-1]], dtype=np.int32)
     end, words = offset + length, last - first
     far = int(end.max()) + 1
@@ -443,12 +461,14 @@ def chains(doc, item, page, offset, length, items: Items, letters: np.ndarray, w
             net = _words(items, row, [(p[j], o[j], n[j]) for j in part])
             stretch = (p[c], p[d] + n[d], o[c], o[d] + n[d], min(exact, o[d] + n[d] - o[c]), total, net, *ends)
             by_group.setdefault((int(doc[k]), row), []).append(stretch)
-    solid = lambda x: x[4] >= PIECE and x[5] >= max(PIECE, 0.46 * (x[3] - x[2]))
     for (page_, row), found in by_group.items():
         last, seen = items.words[row][1], set()
+        solid = [y for y in found if y[4] >= PIECE and y[5] >= max(PIECE, 0.46 * (y[3] - y[2]))]
         for x in found:
             o0, o1 = x[2], x[3]
-            more = [y for y in found if y is not x and solid(y) and (y[3] <= o0 + 6 and o0 - y[3] <= NEXT or y[2] >= o1 - 6 and y[2] - o1 <= NEXT)] if solid(x) else []
+            more = []
+            if len(solid) > 1 and x[4] >= PIECE and x[5] >= max(PIECE, 0.46 * (o1 - o0)):
+                more = [y for y in solid if y is not x and (y[3] <= o0 + 6 and o0 - y[3] <= NEXT or y[2] >= o1 - 6 and y[2] - o1 <= NEXT)]
             # short pieces from all over a long page add up, so only the best chain is taken with one on each side, others in pairs
             sides = [[y for y in more if y[3] <= o0 + 6], [y for y in more if y[2] >= o1 - 6]]
             both = [[x, *(max(z, key=lambda y: y[4]) for z in sides if z)]] if x is found[0] else []
@@ -547,7 +567,10 @@ def verify(found, items: Items, letters: np.ndarray, docs: np.ndarray, ends: np.
         p0, p1, o0, o1, *_, q0, q1 = stretch
         low = max([0, o0 - _EDGE, *(x[3] for x in others if x[3] <= o0 + 6)])
         high = min([len(items.letters[item]), o1 + _EDGE, *(x[2] for x in others if x[2] >= o1 - 6)])
-        return (doc, item, max(docs[doc], p0 - 400), min(ends[doc], p1 + 400), min(low, o0), max(high, o1), q0, q1)
+        low, high = min(low, o0), max(high, o1)
+        # the page around as far as the letters that are left of the item may reach
+        before, behind = (min(400, 3 * k + 60) if k else 0 for k in (o0 - low, high - o1))
+        return (doc, item, max(docs[doc], p0 - before), min(ends[doc], p1 + behind), low, high, q0, q1)
 
     sure, waiting, pieces = [], [], []
     taken: dict[tuple[int, int], list] = {}
@@ -608,9 +631,13 @@ def verify(found, items: Items, letters: np.ndarray, docs: np.ndarray, ends: np.
             sure.append((doc, item, 0, [x[7:] for x in way]))
         else:
             asked.append([job(doc, item, x, [y for y in way if y is not x]) for x in way])
+    # the first piece has to be solid by itself; only then the others are aligned
+    is_solid = lambda x: placed[x][0] >= PIECE and placed[x][0] >= 0.58 * (placed[x][2] - placed[x][1])
+    place(way[0] for way in asked)
+    asked = [way for way in asked if is_solid(way[0])]
     place(x for way in asked for x in way)
     for part in asked:
-        solid = [x for x in part if placed[x][0] >= PIECE and placed[x][0] >= 0.58 * (placed[x][2] - placed[x][1])]
+        solid = [x for x in part if is_solid(x)]
         good = sorted(placed[x][1:] for x in solid)
         joined = [list(good[0])] if good else []
         for a, b in good[1:]:
