@@ -204,6 +204,38 @@ def supplier_quads(spark, sf_dir):
     return s.select("s_suppkey", cover.lonlat_vertices(s["vertices"]).alias("vertices"))
 
 
+@query("SELECT DISTINCT resolution, CASE WHEN resolution BETWEEN 0 AND 29 THEN CAST(1 AS BIGINT) << resolution END AS nside, CASE WHEN resolution BETWEEN 0 AND 29 THEN CAST(12 AS BIGINT) << (2 * resolution) END AS pixels FROM footprints")
+def codec_sizes(spark, sf_dir):
+    levels = read(spark, sf_dir, "footprints").select("resolution").distinct()
+    return levels.select("resolution", C.nside("resolution").cast("bigint").alias("nside"), C.pixel_count("resolution").alias("pixels"))
+
+
+_DEGREES = "CAST((s_suppkey * 37) % 720 AS DOUBLE) - 300.3e0 AS lon, CAST((s_suppkey * 23) % 211 AS DOUBLE) - 105.2e0 AS lat"
+
+
+@query(f"SELECT s_suppkey, CASE WHEN abs(lat) <= 90 THEN CAST(round(cos(radians(lat)) * cos(radians(lon)) * 1e6) AS BIGINT) END AS x, CASE WHEN abs(lat) <= 90 THEN CAST(round(cos(radians(lat)) * sin(radians(lon)) * 1e6) AS BIGINT) END AS y, CASE WHEN abs(lat) <= 90 THEN CAST(round(sin(radians(lat)) * 1e6) AS BIGINT) END AS z FROM (SELECT s_suppkey, {_DEGREES} FROM supplier)")
+def lonlat_vectors(spark, sf_dir):
+    """Unit vectors of degrees; a latitude beyond the poles gives null, longitudes are unbounded."""
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", ((F.col("s_suppkey") * 37) % 720 - F.lit(300.3)).alias("lon"), ((F.col("s_suppkey") * 23) % 211 - F.lit(105.2)).alias("lat"))
+    v = C.lonlat_to_xyz("lon", "lat")
+    return s.select("s_suppkey", *(micro(v[c]).alias(c) for c in "xyz"))
+
+
+@query("""WITH v AS (SELECT s_suppkey, s_suppkey % 9 AS kind FROM supplier)
+SELECT s_suppkey, CASE WHEN kind IN (1, 5) THEN 'Each polygon needs at least three vertices.' WHEN kind = 2 THEN 'lon/lat inputs must be finite.' WHEN kind IN (3, 6) THEN 'latitude must be between -90 and 90 degrees.'
+  WHEN kind = 4 THEN 'Polygon contains duplicate consecutive vertices.' WHEN kind = 7 THEN 'Footprint or vertex is null.' END AS error FROM v""")
+def lonlat_messages(spark, sf_dir):
+    """Triangles in degrees with one fault by the supplier's key, and the message of the first rule they break."""
+    s = read(spark, sf_dir, "supplier").withColumn("kind", F.col("s_suppkey") % 9)
+    nan, at = F.lit(float("nan")), lambda lon, lat: F.struct(F.lit(lon).cast("double").alias("lon"), F.lit(lat).cast("double").alias("lat"))
+    a, b, c = at(0.0, 0.0), at(4.0, 0.0), at(4.0, 4.0)
+    wrong = [F.array(a, b), F.array(a, at(nan, 95.0), c), F.array(at(1.0, 91.0), at(nan, 0.0), c), F.array(a, a, c), F.array(at(nan, 0.0)), F.array(a, at(0.0, -90.5), at(0.0, -90.5)), F.array(a, b, at(None, 1.0))]
+    vertices = F.array(a, b, c)
+    for kind, v in enumerate(wrong, 1):
+        vertices = F.when(F.col("kind") == kind, v).otherwise(vertices)
+    return cover.validate_footprints(s.select("s_suppkey", vertices.alias("vertices")), key="s_suppkey")
+
+
 _SWATH = """w0 AS (SELECT swath_id, seq, any_value(left_edge_xyz) AS l, any_value(right_edge_xyz) AS r FROM swath_samples WHERE swath_id IS NOT NULL AND seq IS NOT NULL GROUP BY swath_id, seq),
 w1 AS (SELECT swath_id, seq, l, r, lead(l) OVER w AS l2, lead(r) OVER w AS r2, lead(seq) OVER w AS nx FROM w0 WINDOW w AS (PARTITION BY swath_id ORDER BY seq)),
 src AS (SELECT {'swath_id': swath_id, 'seq': seq} AS key, [l, r, r2, l2] AS vertices FROM w1 WHERE nx IS NOT NULL)"""
