@@ -85,14 +85,20 @@ def encode_cell_id(resolution, nested, strict: bool = False) -> Column:
     )
 
 
+def _level(resolution) -> Column:
+    return F.lit(resolution) if isinstance(resolution, int) else _col(resolution)
+
+
 def nside(resolution) -> Column:
-    """Cells along the side of a base face: 2**resolution."""
-    return F.call_function("shiftleft", _big(1), F.lit(resolution) if isinstance(resolution, int) else _col(resolution))
+    """Cells along the side of a base face: 2**resolution; null for what is no resolution."""
+    r = _level(resolution)
+    return F.when(r.between(0, codec.MAX_RESOLUTION), F.call_function("shiftleft", _big(1), r))
 
 
 def pixel_count(resolution) -> Column:
-    """Cells of a resolution: 12 * 4**resolution."""
-    return F.call_function("shiftleft", _big(12), (F.lit(resolution) if isinstance(resolution, int) else _col(resolution)) * 2)
+    """Cells of a resolution: 12 * 4**resolution; null for what is no resolution."""
+    r = _level(resolution)
+    return F.when(r.between(0, codec.MAX_RESOLUTION), F.call_function("shiftleft", _big(12), r * 2))
 
 
 def parent_cell(c, resolution) -> Column:
