@@ -108,9 +108,24 @@ m AS (SELECT DISTINCT batch_id, footprint_id, cell_id FROM el WHERE {VALID})"""
 p AS (SELECT x.f AS a, y.f AS b, count(*) AS o FROM s x JOIN s y ON x.c = y.c AND x.f < y.f GROUP BY 1, 2)
 SELECT a AS footprint_a, b AS footprint_b FROM p JOIN z za ON za.f = a JOIN z zb ON zb.f = b WHERE 2 * o >= za.n + zb.n - o""")
 def p4_found(spark, sf_dir):
+    return simpairs.similar_pairs(_slice_sets(spark, sf_dir), 0.5).select(F.col("id_a").alias("footprint_a"), F.col("id_b").alias("footprint_b"))
+
+
+def _slice_sets(spark, sf_dir):
     slices = batch_slices(read(spark, sf_dir, "coverage_batches"))
-    sets = slices.select(F.col("footprint_id").alias("id"), F.filter("cells", is_cell_id).alias("items"))
-    return simpairs.similar_pairs(sets, 0.5).select(F.col("id_a").alias("footprint_a"), F.col("id_b").alias("footprint_b"))
+    return slices.select(F.col("footprint_id").alias("id"), F.filter("cells", is_cell_id).alias("items"))
+
+
+@query(f"""{_SETS}, s AS (SELECT DISTINCT footprint_id AS f, cell_id AS c FROM m WHERE footprint_id IS NOT NULL), z AS (SELECT f, count(*) AS n FROM s GROUP BY f),
+p AS (SELECT x.f AS a, y.f AS b, count(*) AS o FROM s x JOIN s y ON x.c = y.c AND x.f < y.f GROUP BY 1, 2)
+SELECT CAST(count(*) AS BIGINT) AS pairs, true AS recalled, true AS only_pairs FROM p JOIN z za ON za.f = a JOIN z zb ON zb.f = b WHERE 2 * o >= za.n + zb.n - o""")
+def p4_recall(spark, sf_dir):
+    """All pairs, whether segments of the codes find nine tenths of them, and whether they find nothing else."""
+    sets = cut(_slice_sets(spark, sf_dir))
+    every, some = (simpairs.similar_pairs(sets, 0.5, method=m).select("id_a", "id_b", F.lit(m).alias("by")) for m in ("prefix", "segments"))
+    by = every.union(some).groupBy("id_a", "id_b").agg(F.max((F.col("by") == "prefix").cast("int")).alias("p"), F.max((F.col("by") == "segments").cast("int")).alias("s"))
+    counts = by.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(n) for n, c in (("pairs", F.col("p")), ("found", F.col("s")), ("both", F.col("p") * F.col("s")))))
+    return counts.select("pairs", (F.col("both") * 10 >= F.col("pairs") * 9).alias("recalled"), (F.col("both") == F.col("found")).alias("only_pairs"))
 
 
 _TERMS = f"""v AS (SELECT cell_id, footprint_id FROM coverage WHERE {VALID} AND footprint_id IS NOT NULL),

@@ -49,6 +49,18 @@ def test_pairs_between_tables(spark):
     assert rows(simpairs.similar_pairs(table(spark, left), 0.5, other=table(spark, right))) == want
 
 
+@pytest.mark.parametrize("threshold, split", [(0.5, 2), (0.8, 1024)])
+def test_segments_find_the_share_they_tell(spark, monkeypatch, threshold, split):
+    monkeypatch.setattr(simpairs, "SPLIT", split)
+    sets = families(4, 150)
+    every = set(rows(simpairs.similar_pairs(table(spark, sets), threshold)))
+    some = set(rows(simpairs.similar_pairs(table(spark, sets), threshold, method="segments")))
+    assert some <= every and len(some) >= 0.95 * len(every) > 50
+    assert 0.63 < simpairs.recall(0.5) < 0.66 and simpairs.recall(0.8) > 0.99 and simpairs.recall(1.0) == 1.0
+    with pytest.raises(ValueError):
+        simpairs.similar_pairs(table(spark, sets), 0.5, method="bands")
+
+
 def test_links_of_representatives_and_membership(spark):
     sets = {1: [1, 2, 3], 2: [1, 2, 3], 3: [1, 2, 3], 4: [1, 2, 3, 4], 5: [9], 6: [9]}
     named = spark.createDataFrame(list(sets.items()), "id bigint, items array<bigint>")
