@@ -681,8 +681,10 @@ def search_shard(texts: list[str | None], blocks: Iterable[Items], words: int):
         for (doc, item), many in best.items():
             if doc not in where:
                 where[doc] = letter_places(texts[doc])
-            place, base = where[doc], int(docs[doc])
-            cut = [{"start": int(place[a - base]), "stop": int(place[b - base - 1]) + 1} for a, b in sorted(placed[doc, item])]
+            # letters that go on along a diagonal may be those of the page before or behind
+            place, base, end = where[doc], int(docs[doc]), int(sizes[doc]) - 1
+            parts_ = sorted((max(0, a - base), min(end, b - base)) for a, b in placed[doc, item])
+            cut = [{"start": int(place[a]), "stop": int(place[b - 1]) + 1} for a, b in parts_]
             yield doc, item, many, cut
 
 

@@ -198,6 +198,17 @@ def test_result_does_not_depend_on_shards(spark, monkeypatch):
     assert found[0] == found[1] == found[2] and len(found[0]) >= 3 * len(truth)
 
 
+def test_spans_stay_on_their_page():
+    rng = random.Random(31)
+    item = prose(rng, 60)
+    # the passage goes on at the head of the next page, where one letter is lost for the end of the page
+    cut, rest = " ".join(item[:30]), " ".join(item[30:])
+    pages = [cut, rest[1:]] * 3
+    found = search([(1, " ".join(item))], pages)
+    assert {d for d, _ in found} == set(range(6))
+    assert all(0 <= s["start"] < s["stop"] <= len(pages[d]) for (d, _), spans in found.items() for s in spans)
+
+
 def test_long_items_and_other_alphabets():
     rng = random.Random(8)
     long = " ".join(prose(rng, 2400))
