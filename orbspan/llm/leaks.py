@@ -274,7 +274,7 @@ def likely(doc, item, page, offset, length, items: Items):
         apart = first[y] - last[x]
         price = np.where(forward, _PRICE[np.minimum(shift, HALF + 1)], np.float32(_COLUMN))
         links.append((x, y, np.minimum(apart, -_LEFT * apart) - price))
-    x, y, value = (np.concatenate(k) for k in zip(*links)) if links else (a, a, words[:0])
+    x, y, value = (np.concatenate(k) for k in zip(*links)) if links else (a[:0], a[:0], words[:0])
     score = _reached(words, x, y, value + words[y])
     start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     good = (np.maximum.reduceat(score, start) >= GATE)[group]
@@ -339,10 +339,14 @@ def _links(doc, item, page, offset, length):
 
 
 def _along(letters: np.ndarray, page: np.ndarray, flat: np.ndarray, item: np.ndarray, width: np.ndarray, step: int) -> np.ndarray:
-    """+1 or -1 for each of the next letters on a diagonal, forward or back, 0 from ``width`` on."""
+    """+1 or -1 for each of the next letters on a diagonal, forward or back, far less from the end of the page on, 0 from ``width`` on."""
     k = np.arange(int(width.max()) if len(width) else 0)
-    same = letters[np.clip(page[:, None] + step * k, 0, len(letters) - 1)] == flat[np.clip(item[:, None] + step * k, 0, len(flat) - 1)]
-    return np.where(k < width[:, None], np.where(same, 1, -1), 0).astype(np.int16)
+    at = page[:, None] + step * k
+    got = np.where((at >= 0) & (at < len(letters)), letters[np.clip(at, 0, len(letters) - 1)], 0)
+    same = got == flat[np.clip(item[:, None] + step * k, 0, len(flat) - 1)]
+    value = np.where(same, 1, -1)
+    value[np.logical_or.accumulate(got == 0, axis=1)] = -64
+    return np.where(k < width[:, None], value, 0).astype(np.int16)
 
 
 def _beyond(letters, page, items: Items, item, offset, step: int) -> tuple[np.ndarray, np.ndarray]:

@@ -209,6 +209,17 @@ def test_spans_stay_on_their_page():
     assert all(0 <= s["start"] < s["stop"] <= len(pages[d]) for (d, _), spans in found.items() for s in spans)
 
 
+def test_pages_without_links_and_with_repeats():
+    rng = random.Random(33)
+    item = " ".join(prose(rng, 40))
+    assert set(search([(1, item)], [item])) == {(0, 1)} and search([(1, item)], ["", None, "x"]) == {}
+    # where a diagonal ends does not hang on the pages around
+    again = "aaaa bbbb " * 40
+    pages = [item, again, "bbbb " + again, item, again]
+    alone = {(d, i): spans for d, p in enumerate(pages) for (_, i), spans in search([(1, item), (2, again)], [p]).items()}
+    assert search([(1, item), (2, again)], pages) == alone and len(alone) == 5
+
+
 def test_long_items_and_other_alphabets():
     rng = random.Random(8)
     long = " ".join(prose(rng, 2400))
